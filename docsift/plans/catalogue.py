@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import document_filename, stem
 from ..operators import documents as D
+from ..operators import embed as E
+from ..operators import feedback as FB
 from ..operators import labels as L
+from ..operators import metrics as M
+from ..operators import models
+from ..operators import route as R
 from ..operators import selection as S
 from ..operators.tfidf import Tfidf, TfidfModel
+from ..sources import cache, exchange, files, pages, registry, sinks
+from . import score_rule
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +142,401 @@ def chi2_selected(spark, folder):
     return rounded(long.join(kept, "feature_index", "left_semi"), "tfidf")
 
 
+# Sources
+
+
+def file_info(spark, folder):
+    """Name, stem and size of each document, from its length alone."""
+    docs = T.table(spark, folder, "documents").select(
+        F.concat(F.lit("corpus/"), "source", F.lit("/"), document_filename(F.col("doc_id"))).alias("path"),
+        F.octet_length("text").alias("length"),
+    )
+    return rounded(files.file_info(docs).orderBy("path"), "size_kb")
+
+
+def decoded_texts(spark, folder):
+    """Documents written as Latin-1 bytes where they can be, decoded again."""
+    docs = T.table(spark, folder, "documents").select("doc_id", "text", "lang")
+    body = F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    content = F.when(F.col("lang") == "fr", F.encode(body, "ISO-8859-1")).otherwise(F.encode(body, "UTF-8"))
+    return docs.select("doc_id", files.decode_text(content).alias("text")).filter("text != ''")
+
+
+def _page_rows(spark, folder):
+    turns = T.table(spark, folder, "conversations")
+    return turns.select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"),
+        F.when(F.col("turn") % 3 == 1, F.lit("")).otherwise(F.col("text")).alias("text"),
+    )
+
+
+def assemble_pages(spark, folder):
+    """Conversations as documents whose every third turn is an empty page."""
+    return pages.assemble_pages(_page_rows(spark, folder), block=4)
+
+
+def extraction_cascade(spark, folder):
+    """Turns as extractors of a conversation, tried in order."""
+    turns = T.table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("role").alias("extractor"), F.col("turn").alias("rank"),
+        F.when(F.col("turn") % 4 != 3, F.substring("text", 1, 55)).alias("text"),
+    )
+    return pages.extraction_cascade(turns)
+
+
+def _text_cache(spark, folder):
+    """Page sources as an old text cache of the documents; some are blank."""
+    old = T.table(spark, folder, "pages")
+    return old.select(
+        F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 7 == 0, F.lit("  ")).otherwise(F.col("html")).alias("text")
+    )
+
+
+def cache_split(spark, folder):
+    docs = T.table(spark, folder, "documents").select("doc_id", "text")
+    tagged, _ = cache.extract_incremental(docs, _text_cache(spark, folder), lambda misses: misses)
+    return tagged
+
+
+def cache_counts(spark, folder):
+    return cache.cache_counts(cache_split(spark, folder))
+
+
+def first_cached(spark, folder):
+    """Three caches in priority order: pages, conversations, benchmark passages."""
+    turns = T.table(spark, folder, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), "text")
+    passages = T.table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    docs = T.table(spark, folder, "documents")
+    return cache.first_cached(docs, passages, turns, _text_cache(spark, folder))
+
+
+def cache_stats(spark, folder):
+    docs = T.table(spark, folder, "documents").select(F.octet_length("text").alias("length"))
+    return cache.cache_stats(docs)
+
+
+def merge_by_stem(spark, folder):
+    """Documents, pages and passages with the same number: passages win over pages, pages over documents."""
+    parts = [("documents", "doc_id", "text", 1), ("pages", "page_id", "url", 2), ("benchmark", "item_id", "text", 3)]
+    rows = [
+        T.table(spark, folder, name).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.lit(rank).alias("priority"))
+        for name, key, text, rank in parts
+    ]
+    return files.merge_by_stem(reduce(DataFrame.unionByName, rows))
+
+
+def file_dispatch(spark, folder):
+    """Rows per supported file type among page addresses given mixed extensions."""
+    ends = F.element_at(F.array(*[F.lit(e) for e in (".TXT", ".pdf", ".html", "")]), (F.col("page_id") % 4 + 1).cast("int"))
+    paths = T.table(spark, folder, "pages").select("page_id", F.concat(F.lit("web/page"), "page_id", ends).alias("path"))
+    known, other = files.by_file_type(paths)
+    typed = known.select("page_id", stem(F.col("path")).alias("stem"), "file_type")
+    return typed.unionByName(other.select("page_id", stem(F.col("path")).alias("stem"), F.lit("unsupported").alias("file_type")))
+
+
+# Labels
+
+
+def label_table(spark, folder):
+    return L.build_labels(T.label_rows(spark, folder).select("filename", "dir")).select("filename", "label", "split")
+
+
+def stratified_split(spark, folder):
+    """Split by the rarer label."""
+    rows = T.label_rows(spark, folder, "toxic").select("doc_id", "filename", "label")
+    return L.stratified_split(rows).select("doc_id", "label", "split")
+
+
+def split_rows(spark, folder):
+    return L.split_rows(label_table(spark, folder), "test", "useful")
+
+
+def split_summary(spark, folder):
+    return L.split_summary(label_table(spark, folder))
+
+
+def split_label_counts(spark, folder):
+    return L.split_label_counts(label_table(spark, folder))
+
+
+def class_balance(spark, folder):
+    return L.class_balance(T.label_rows(spark, folder, "toxic"))
+
+
+def class_weights(spark, folder):
+    return rounded(L.class_weights(T.label_rows(spark, folder, "toxic")), "weight")
+
+
+def fold_assignment(spark, folder):
+    return L.stratified_folds(T.label_rows(spark, folder).select("doc_id", F.col("y").alias("label")))
+
+
+def label_lookup(spark, folder):
+    """Every document with its label; files listed twice count by their first row."""
+    docs = T.table(spark, folder, "documents").select("doc_id", document_filename(F.col("doc_id")).alias("filename"))
+    rows = T.label_rows(spark, folder).withColumn("line", F.col("doc_id") * 2)
+    twice = rows.filter("doc_id % 5 = 0").withColumn("line", F.col("line") + 1)
+    flipped = F.when(F.col("label") == "useful", F.lit("not_useful")).otherwise(F.lit("useful"))
+    listed = rows.unionByName(twice.withColumn("label", flipped))
+    return L.attach_labels(docs, listed.select("filename", "label", "line"), order="line").select("doc_id", "y")
+
+
+def unlabelled_docs(spark, folder):
+    docs = T.table(spark, folder, "documents").select(document_filename(F.col("doc_id")).alias("filename"))
+    return L.evaluation_rows(docs, T.label_rows(spark, folder))[1]
+
+
+def evaluation_rows(spark, folder):
+    docs = T.table(spark, folder, "documents").select("doc_id", document_filename(F.col("doc_id")).alias("filename"))
+    return L.evaluation_rows(docs, T.label_rows(spark, folder))[0]
+
+
+def _folders(spark, folder):
+    """Pages play the main folder, conversations the useful one."""
+    main = T.table(spark, folder, "pages").select(document_filename(F.col("page_id")).alias("filename"))
+    useful = T.table(spark, folder, "conversations").select(document_filename(F.col("conv_id") * 5).alias("filename"))
+    return main, useful
+
+
+def resolve_split(spark, folder):
+    found, _ = L.resolve_split(label_table(spark, folder), *_folders(spark, folder), "train")
+    return found.select("filename", "label", "dir")
+
+
+def missing_split_files(spark, folder):
+    return L.resolve_split(label_table(spark, folder), *_folders(spark, folder), "train")[1]
+
+
+def drop_blank(spark, folder):
+    """Turns with text left once their letters are gone, and the blank ones."""
+    turns = T.table(spark, folder, "conversations").select(
+        "conv_id", "turn", F.when(F.col("turn") % 2 == 1, F.regexp_replace("text", r"[^ \n]", "")).otherwise(F.col("text")).alias("text")
+    )
+    kept, skipped = D.split_blank(turns)
+    kept = kept.select("conv_id", "turn", F.lit(False).alias("skipped"))
+    return kept.unionByName(skipped.select("conv_id", "turn", F.lit(True).alias("skipped")))
+
+
+# Features
+
+
+def combined_vector(spark, folder):
+    """Training documents with an embedding: words and embedding side by side."""
+    train, model = fitted(spark, folder)
+    vectors = E.combine(model.transform(train), T.embedding_cache(spark, folder), "combined")
+    entries = vectors.select("doc_id", F.posexplode(vector_to_array("features_raw")).alias("feature_index", "value"))
+    return rounded(entries.filter("value != 0"), "value")
+
+
+def maxabs_scaled(spark, folder):
+    rows = T.embedding_cache(spark, folder).select(
+        "doc_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features_raw")
+    )
+    scaled = E.fit_scaler(rows).transform(rows)
+    entries = scaled.select("doc_id", F.posexplode(vector_to_array("features")).alias("feature_index", "value"))
+    return rounded(entries, "value")
+
+
+def embedding_hits(spark, folder):
+    docs = T.table(spark, folder, "documents").select("doc_id")
+    return E.split_embeddings(docs, T.embedding_cache(spark, folder), 64)[0].select("doc_id")
+
+
+def embedding_misses(spark, folder):
+    docs = T.table(spark, folder, "documents").select("doc_id")
+    return E.split_embeddings(docs, T.embedding_cache(spark, folder), 64)[1].select("doc_id")
+
+
+def embed_missing(spark, folder):
+    docs = D.clean_documents(T.documents(spark, folder)).select("doc_id", "clean")
+    return E.embed_incremental(docs, T.embedding_cache(spark, folder), E.HashingEncoder(64), 64)[1]
+
+
+# Evaluation
+
+
+def confusion_matrix(spark, folder):
+    return M.confusion(M.confusion_counts(score_rule.predicted_quality(spark, folder)))
+
+
+def confusion_pct(spark, folder):
+    return rounded(M.confusion_pct(M.confusion_counts(score_rule.predicted_quality(spark, folder))), "row_pct")
+
+
+def confusion_rates(spark, folder):
+    counts = M.confusion_counts(score_rule.predicted_quality(spark, folder))
+    return rounded(M.rates(counts), "accuracy", "precision", "recall", "f1")
+
+
+def classification_report(spark, folder):
+    counts = M.confusion_counts(score_rule.predicted_quality(spark, folder))
+    return rounded(M.classification_report(counts), "precision", "recall", "f1")
+
+
+def accuracy(spark, folder):
+    return rounded(M.accuracy(score_rule.predicted_quality(spark, folder)), "accuracy")
+
+
+def positive_predictions(spark, folder):
+    return M.positive_predictions(score_rule.predicted_quality(spark, folder))
+
+
+def fold_accuracy_band(spark, folder):
+    """Spread of the rule's accuracy over the stratified folds."""
+    rows = score_rule.predicted_quality(spark, folder).withColumnRenamed("actual", "label")
+    folded = L.stratified_folds(rows)
+    per_fold = folded.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("f1"))
+    return rounded(M.cv_summary(per_fold), "mean", "std", "band")
+
+
+def quality_flags(spark, folder):
+    """Flags from the rule's accuracy per split and the balance of the rare label."""
+    rows = score_rule.predicted_quality(spark, folder).withColumn("filename", document_filename(F.col("doc_id")))
+    rows = rows.join(label_table(spark, folder).select("filename", "split"), "filename")
+    hit = (F.col("actual") == F.col("prediction")).cast("double")
+    one = rows.agg(
+        F.avg(hit).alias("cv_mean"),
+        F.avg(F.when(F.col("split") == "train", hit)).alias("train_accuracy"),
+        F.avg(F.when(F.col("split") == "test", hit)).alias("test_accuracy"),
+    )
+    ratio = L.class_balance(T.label_rows(spark, folder, "toxic")).first().ratio
+    return rounded(M.quality_flags(one.withColumn("ratio", F.lit(ratio))), "cv_mean", "train_accuracy", "test_accuracy")
+
+
+def model_top_features(spark, folder):
+    """Class-mean differences ranked like coefficients."""
+    weights = _class_means(spark, folder).select("feature_index", "feature_name", F.col("difference").alias("weight"))
+    return rounded(models.rank_features(weights, 10), "weight")
+
+
+def model_top_importances(spark, folder):
+    """Chi-squared scores ranked like importances."""
+    weights = _chi2(spark, folder).select("feature_index", "feature_name", F.col("chi2").alias("weight"))
+    return rounded(models.rank_features(weights, 10, signed=False), "weight")
+
+
+# Routing, exchange, feedback
+
+
+def route_predictions(spark, folder):
+    routed = R.route(score_rule.scored_files(spark, folder))
+    return rounded(routed.select("filename", "prediction", "confidence", "uncertain", "route"), "confidence")
+
+
+def predictions_rule_table(spark, folder):
+    return rounded(sinks.prediction_table(score_rule.scored_files(spark, folder)), "anomaly_score")
+
+
+def _batches(spark, folder):
+    """Each conversation as a batch with one item per turn; some batches are malformed."""
+    turns = T.table(spark, folder, "conversations").withColumn(
+        "id", F.concat(F.when(F.col("conv_id") % 10 == 3, F.lit("id-")).otherwise(F.lit("id")), (F.col("turn") % 3).cast("string"))
+    )
+    item = F.struct("turn", "id", F.col("text").alias("content"))
+    ordered = F.transform(F.array_sort(F.collect_list(item)), lambda i: F.struct(i["id"].alias("id"), i["content"].alias("content")))
+    return turns.groupBy(F.col("conv_id").alias("batch_id")).agg(F.to_json(ordered).alias("payload"))
+
+
+def exchange_batches(spark, folder):
+    return exchange.check_batches(_batches(spark, folder)).select("batch_id", "valid", F.size("items").alias("n_items"))
+
+
+def exchange_parse(spark, folder):
+    return exchange.item_documents(exchange.parse_items(_batches(spark, folder), strict=False))
+
+
+def exchange_output(spark, folder):
+    """Answers to the valid batches by a length rule; every fifth batch's last item is skipped."""
+    docs = exchange_parse(spark, folder)
+    scored = docs.filter("NOT (batch_id % 5 = 0 AND pos = 2)").withColumn("score", F.floor(F.length("text") % 128) / 128)
+    scored = scored.withColumn("prediction", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return exchange.result_arrays(exchange.result_rows(docs, R.route(scored)))
+
+
+def latest_artifacts(spark, folder):
+    """Artefact names of daily training runs taken from the event log."""
+    runs = T.table(spark, folder, "events").select(
+        F.lit("txt").alias("file_type"), F.col("event_type").alias("model_type"), F.col("ts").alias("created_at"),
+        (F.col("value") % 100 / 100).alias("accuracy"),
+    )
+    # Half a tenth is kept out of the way: printing rounds it differently elsewhere.
+    runs = runs.withColumn("suffix", registry.artifact_suffix(F.col("created_at"), F.floor(F.col("accuracy") * 100) / 100))
+    runs = runs.withColumn("name", registry.classifier_name(F.col("file_type"), F.col("model_type"), F.col("suffix")))
+    return registry.latest_artifacts(runs)
+
+
+def _feedback(spark, folder):
+    rows = T.feedback_events(spark, folder)
+    return rows.select(
+        F.when(F.col("event_id") % 50 == 0, F.lit(" ")).otherwise(F.col("filename")).alias("filename"),
+        F.when(F.col("value") > 50, F.lit("useful")).otherwise(F.lit("not_useful")).alias("predicted_label"),
+        F.col("value").alias("predicted_score"),
+        F.col("decision").alias("human_label"),
+        F.lit(None).cast("string").alias("annotator"),
+        F.lit(None).cast("string").alias("notes"),
+        F.when(F.col("event_id") % 3 == 0, F.lit("m1")).alias("model_version"),
+        F.when(F.col("event_id") % 3 == 1, F.lit("")).otherwise(F.lit("t1")).alias("tfidf_version"),
+        F.lit("s1").alias("scaler_version"),
+        F.lit("raw_txts").alias("source_dir"),
+        "at",
+    )
+
+
+def feedback_records(spark, folder):
+    return FB.feedback_records(_feedback(spark, folder))[0]
+
+
+def feedback_rejects(spark, folder):
+    rejected = FB.feedback_records(_feedback(spark, folder))[1]
+    return rejected.select("filename", "predicted_label", "human_label", "at", "reject_reason")
+
+
+def _file_dirs(spark, folder):
+    """Documents by folder: labelled ones by class, some of the others wait for a manual check."""
+    docs = T.table(spark, folder, "documents").select("doc_id", document_filename(F.col("doc_id")).alias("filename"))
+    placed = docs.join(T.label_rows(spark, folder).select("doc_id", "dir"), "doc_id", "left")
+    waiting = F.when(F.col("doc_id") % 2 == 0, F.lit("manual_check"))
+    return placed.select("filename", F.coalesce("dir", waiting).alias("dir")).filter("dir IS NOT NULL")
+
+
+def _corrections(spark, folder):
+    return T.feedback_events(spark, folder).select(
+        F.col("event_id").cast("string").alias("record_id"), "filename", "decision",
+        F.col("value").alias("predicted_score"), F.lit("r1").alias("reviewer"), "at",
+    )
+
+
+def locate_file(spark, folder):
+    twice = _file_dirs(spark, folder)
+    twice = twice.unionByName(twice.filter("dir = 'not_useful'").withColumn("dir", F.lit("manual_check")))
+    return FB.locate(twice, _corrections(spark, folder))
+
+
+def missing_files(spark, folder):
+    return FB.missing_files(_file_dirs(spark, folder), _corrections(spark, folder))
+
+
+def corrections_applied(spark, folder):
+    return FB.apply_corrections(_file_dirs(spark, folder), _corrections(spark, folder))[2]
+
+
+def correction_log(spark, folder):
+    return FB.apply_corrections(_file_dirs(spark, folder), _corrections(spark, folder))[1]
+
+
+def corrected_labels(spark, folder):
+    return FB.apply_corrections(_file_dirs(spark, folder), _corrections(spark, folder))[0]
+
+
+def relabelled_split(spark, folder):
+    """The label table rebuilt after the corrections."""
+    return L.build_labels(corrected_labels(spark, folder).select("filename", "dir")).select("filename", "label", "split")
+
+
+def current_labels(spark, folder):
+    return FB.current_labels(FB.valid_corrections(_corrections(spark, folder))[0])
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -139,5 +544,17 @@ QUERIES: dict[str, Query] = {
         removed_keywords, preprocess_stats, document_lengths,
         vocabulary, tfidf_long, tfidf_transform_unseen, class_mean_tfidf, top_useful_terms,
         top_not_useful_terms, noise_terms, chi2_scores, chi2_selected,
+        file_info, decoded_texts, assemble_pages, extraction_cascade, cache_split, cache_counts,
+        first_cached, cache_stats, merge_by_stem, file_dispatch,
+        label_table, stratified_split, split_rows, split_summary, split_label_counts, class_balance,
+        class_weights, fold_assignment, label_lookup, unlabelled_docs, evaluation_rows, resolve_split,
+        missing_split_files, drop_blank,
+        combined_vector, maxabs_scaled, embedding_hits, embedding_misses, embed_missing,
+        confusion_matrix, confusion_pct, confusion_rates, classification_report, accuracy,
+        positive_predictions, fold_accuracy_band, quality_flags, model_top_features,
+        model_top_importances,
+        route_predictions, predictions_rule_table, exchange_batches, exchange_parse, exchange_output,
+        latest_artifacts, feedback_records, feedback_rejects, locate_file, missing_files,
+        corrections_applied, correction_log, corrected_labels, relabelled_split, current_labels,
     )
 }
