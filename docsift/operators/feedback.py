@@ -97,10 +97,10 @@ def apply_corrections(
     decided, _ = valid_corrections(corrections)
     placed = locate(files, decided).filter("dir IS NOT NULL")
     rows = decided.join(placed, "filename").withColumn(
-        "_bucket", F.expr(f"unix_micros(at) div {int(bucket_seconds) * 1_000_000}")
+        "_bucket", F.expr(f"unix_micros(CAST(at AS TIMESTAMP)) div {int(bucket_seconds) * 1_000_000}")
     )
     in_bucket = Window.partitionBy("filename", "_bucket").orderBy("at", "record_id")
-    ends = decided.withColumn("_bucket", F.expr(f"unix_micros(at) div {int(bucket_seconds) * 1_000_000}"))
+    ends = decided.withColumn("_bucket", F.expr(f"unix_micros(CAST(at AS TIMESTAMP)) div {int(bucket_seconds) * 1_000_000}"))
     ends = ends.groupBy("filename", "_bucket").agg(F.max_by("decision", F.struct("at", "record_id")).alias("_end"))
     across = Window.partitionBy("filename").orderBy("_bucket")
     ends = ends.select("filename", "_bucket", F.lag("_end").over(across).alias("_before"))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 
 def class_sums(tfidf_long: DataFrame, labels: DataFrame, key: str = "doc_id", y: str = "y") -> DataFrame:
-    """Summed weight per feature and class; one small row per feature after the shuffle."""
-    rows = tfidf_long.join(labels.select(key, y), key)
+    """Summed weight per feature and class; one small row per feature after the shuffle.
+
+    Entries that carry the class already need no join.
+    """
+    rows = tfidf_long if y in tfidf_long.columns else tfidf_long.join(labels.select(key, y), key)
     return rows.groupBy("feature_index").agg(
         F.sum(F.when(F.col(y) == 1, F.col("tfidf")).otherwise(0.0)).alias("useful_sum"),
         F.sum(F.when(F.col(y) == 0, F.col("tfidf")).otherwise(0.0)).alias("not_useful_sum"),

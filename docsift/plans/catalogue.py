@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import TrainConfig
 from ..functions.paths import document_filename, stem
 from ..operators import documents as D
 from ..operators import embed as E
@@ -18,10 +20,16 @@ from ..operators import metrics as M
 from ..operators import models
 from ..operators import route as R
 from ..operators import selection as S
-from ..operators.tfidf import Tfidf, TfidfModel
+from ..operators.neighbours import nearest
+from ..operators.smote import smote
+from ..operators.tfidf import TextCleaner, Tfidf, TfidfModel
+from ..session import scratch_path
 from ..sources import cache, exchange, files, pages, registry, sinks
-from . import score_rule
+from ..streaming import labels as label_stream
+from ..streaming import score as score_stream
+from . import predict, score_rule
 from . import tables as T
+from .train import train_job
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -537,6 +545,113 @@ def current_labels(spark, folder):
     return FB.current_labels(FB.valid_corrections(_corrections(spark, folder))[0])
 
 
+# Models and jobs
+
+
+def _training_rows(spark, folder, column="quality"):
+    """Labelled embeddings as training rows, which are narrow and fit quickly."""
+    rows = T.embedding_cache(spark, folder).select(
+        "doc_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    )
+    return rows.join(T.label_rows(spark, folder, column).select("doc_id", "y"), "doc_id")
+
+
+def _fit_and_score(spark, folder, kind):
+    rows = _training_rows(spark, folder)
+    scored = models.score(models.create_classifier(kind).fit(rows), rows)
+    return rounded(scored.select("doc_id", "y", "prediction", "score"), "score")
+
+
+def lr_fit(spark, folder):
+    return _fit_and_score(spark, folder, "logistic_regression")
+
+
+def svm_fit(spark, folder):
+    return _fit_and_score(spark, folder, "svm")
+
+
+def rf_fit(spark, folder):
+    return _fit_and_score(spark, folder, "random_forest")
+
+
+def iforest(spark, folder):
+    rows = _training_rows(spark, folder)
+    return models.create_classifier("random_forest", mode="unsupervised").fit(rows).score(rows)
+
+
+def cv_scores(spark, folder):
+    rows = _training_rows(spark, folder)
+    return rounded(models.cross_validate(models.create_classifier("logistic_regression"), rows), "f1")
+
+
+def _rare_rows(spark, folder):
+    return _training_rows(spark, folder, "toxic")
+
+
+def smote_rows(spark, folder):
+    """Training rows of the rare label with the synthetic ones."""
+    return smote(_rare_rows(spark, folder)).select("doc_id", "y", "synthetic", F.round(vector_to_array("features")[0], 6).alias("x0"))
+
+
+def smote_counts(spark, folder):
+    counts = smote(_rare_rows(spark, folder)).groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+    return counts
+
+
+def minority_neighbours(spark, folder):
+    """Five nearest embeddings of each embedding of the rare label."""
+    points = _rare_rows(spark, folder).filter("y = 1").select(F.col("doc_id").alias("key"), vector_to_array("features").alias("x"))
+    return rounded(nearest(points, 5).select("key", "near", "gap"), "gap")
+
+
+def train_predictions(spark, folder):
+    """The whole training job on words; its predictions for the test split."""
+    docs = T.documents(spark, folder)
+    labels = L.build_labels(T.label_rows(spark, folder).select("filename", "dir"))
+    result = train_job(spark, docs, labels, TrainConfig(feature_mode="tfidf"))
+    return rounded(result.predictions, "anomaly_score")
+
+
+def _text_pipeline(spark, folder):
+    """Words and logistic regression on all labelled documents."""
+    train, model = fitted(spark, folder)
+    rows = model.transform(train, output_col="features").select("doc_id", "y", "features")
+    classifier = models.create_classifier("logistic_regression").fit(rows)
+    return PipelineModel([TextCleaner(), *model.stages(output_col="features"), *classifier.stages])
+
+
+def predictions_table(spark, folder):
+    """Unlabelled documents, scored by a model of the labelled ones and routed."""
+    docs = T.documents(spark, folder).join(T.label_rows(spark, folder).select("doc_id"), "doc_id", "left_anti")
+    routed = predict.predict_job(_text_pipeline(spark, folder), docs.select("doc_id", "filename", "text"))
+    return rounded(routed.drop("text"), "score", "confidence")
+
+
+def evaluate_batch(spark, folder):
+    report = predict.evaluate_batch(_text_pipeline(spark, folder), T.documents(spark, folder), T.label_rows(spark, folder))
+    return rounded(report["report"], "precision", "recall", "f1")
+
+
+# Streams
+
+
+def stream_score(spark, folder):
+    """All documents through the stream; the SQL side sees which ones come out."""
+    stream = score_stream.document_stream(spark, folder, "documents.parquet")
+    out = scratch_path(spark, "scored")
+    query = score_stream.score_stream(_text_pipeline(spark, folder), stream, out, scratch_path(spark, "state"), once=True)
+    query.awaitTermination()
+    return spark.read.parquet(out).select("doc_id", F.length("text").alias("n_chars"))
+
+
+def stream_labels(spark, folder):
+    events = spark.readStream.schema(T.table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    decided = FB.valid_corrections(T.decisions(events).withColumn("record_id", F.col("event_id").cast("string")))[0]
+    out = scratch_path(spark, "labels")
+    label_stream.label_stream(decided, out, scratch_path(spark, "state"), once=True).awaitTermination()
+    return label_stream.read_labels(spark, out)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -556,5 +671,7 @@ QUERIES: dict[str, Query] = {
         route_predictions, predictions_rule_table, exchange_batches, exchange_parse, exchange_output,
         latest_artifacts, feedback_records, feedback_rejects, locate_file, missing_files,
         corrections_applied, correction_log, corrected_labels, relabelled_split, current_labels,
+        lr_fit, svm_fit, rf_fit, iforest, cv_scores, smote_rows, smote_counts, minority_neighbours,
+        train_predictions, predictions_table, evaluate_batch, stream_score, stream_labels,
     )
 }

@@ -298,3 +298,16 @@ SQL["corrected_labels"] = f"WITH {CORRECTED} SELECT filename, dir, label FROM co
 SQL["relabelled_split"] = f"""WITH {CORRECTED}, named AS (SELECT * FROM corrected WHERE label IS NOT NULL), {split_ctes('named')}
 SELECT filename, label, split FROM placed"""
 SQL["current_labels"] = f"WITH {LAST} SELECT filename, new_label FROM last"
+
+# Rebalancing and streams
+
+RARE = """rare AS (SELECT doc_id, toxic AS y, embedding FROM embeddings JOIN labels ON vec_id = doc_id),
+size AS (SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM rare)"""
+SQL["smote_counts"] = f"""WITH {RARE}
+SELECT y, false AS synthetic, count(*) AS n FROM rare GROUP BY y
+UNION ALL SELECT 1, true, n0 - n1 FROM size WHERE n0 > 5 * n1 AND n1 > 1"""
+SQL["minority_neighbours"] = f"""WITH {RARE}, p AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM rare WHERE y = 1)
+SELECT a.doc_id AS key, b.doc_id AS near, round(list_distance(a.e, b.e), 6) AS gap FROM p a JOIN p b ON a.doc_id <> b.doc_id
+QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY list_distance(a.e, b.e), b.doc_id) <= 5"""
+SQL["stream_score"] = f"""WITH {CLEANED} SELECT doc_id, length(text)::INTEGER AS n_chars FROM cleaned WHERE clean <> ''"""
+SQL["stream_labels"] = SQL["current_labels"]

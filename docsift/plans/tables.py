@@ -46,13 +46,17 @@ def feedback_events(spark: SparkSession, folder: str) -> DataFrame:
     Purchases and signups stand for useful, errors and clicks for not useful;
     views are no decision and stay invalid.
     """
+    return decisions(table(spark, folder, "events"))
+
+
+def decisions(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     decision = (
         F.when(kind.isin("purchase", "signup"), F.lit(USEFUL))
         .when(kind.isin("error", "click"), F.lit(NOT_USEFUL))
         .otherwise(kind)
     )
-    return table(spark, folder, "events").select(
+    return events.select(
         "event_id",
         document_filename(F.col("user_id")).alias("filename"),
         decision.alias("decision"),
