@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import logging
+import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -18,6 +21,22 @@ from .labels import add_class_weights, stratified_folds
 
 log = logging.getLogger(__name__)
 
+ROWS_PER_PARTITION = 50_000
+
+
+def pack(rows: DataFrame, n: int) -> DataFrame:
+    """Few partitions for few rows: every iteration of a fit is one job over them.
+
+    Large training sets have more rows per partition already and stay as they are.
+    """
+    return rows.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION)))
+
+
+def in_parallel(jobs: list, threads: int) -> list:
+    """Results of independent Spark jobs, submitted from several driver threads."""
+    with ThreadPoolExecutor(max(1, threads)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
 
 def create_classifier(model_type: str | None = None, mode: str = "supervised", seed: int = 42):
     """Classifier of a kind; only the random forest has an unsupervised mode."""
@@ -53,9 +72,9 @@ class LogisticClassifier:
     max_iter: int = 1000
 
     def fit(self, rows: DataFrame, features: str = "features", y: str = "y") -> PipelineModel:
-        weighted = add_class_weights(rows, y).persist()
+        n = rows.count()
+        weighted = pack(add_class_weights(rows, y), n).persist()
         try:
-            n = weighted.count()
             # Spark averages the loss, so a penalty of 1/2 |w|^2 on the sum is 1/n here.
             estimator = LogisticRegression(
                 featuresCol=features, labelCol=y, weightCol="weight", family="binomial", regParam=1.0 / n,
@@ -86,24 +105,33 @@ class SvmClassifier:
 
     seed: int = 42
     folds: int = 5
+    max_iter: int = 200
 
     def _margins(self, rows: DataFrame, features: str, y: str):
         n = rows.count()
         estimator = LinearSVC(
-            featuresCol=features, labelCol=y, weightCol="weight", regParam=1.0 / n, standardization=False, maxIter=1000
+            featuresCol=features, labelCol=y, weightCol="weight", regParam=1.0 / n, standardization=False,
+            maxIter=self.max_iter,
         )
-        return estimator.fit(add_class_weights(rows, y))
+        weighted = pack(add_class_weights(rows, y), n).persist()
+        try:
+            return estimator.fit(weighted)
+        finally:
+            weighted.unpersist()
 
     def fit(self, rows: DataFrame, features: str = "features", y: str = "y") -> PipelineModel:
         key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(self.seed)), F.lit(self.folds))
         held = rows.withColumn("_fold", key).persist()
         slicer = VectorSlicer(inputCol="rawPrediction", outputCol="_margin", indices=[1])
         try:
-            final = self._margins(held, features, y)
+            # The model of all rows, and one per fold for margins on rows it has not seen.
+            training = [held] + [held.filter(F.col("_fold") != fold) for fold in range(self.folds)]
+            final, *fitted = in_parallel(
+                [lambda part=part: self._margins(part, features, y) for part in training], len(training)
+            )
             parts = []
-            for fold in range(self.folds):
-                fitted = self._margins(held.filter(F.col("_fold") != fold), features, y)
-                scored = slicer.transform(fitted.transform(held.filter(F.col("_fold") == fold)))
+            for fold, model in enumerate(fitted):
+                scored = slicer.transform(model.transform(held.filter(F.col("_fold") == fold)))
                 parts.append(scored.select("_margin", F.col(y).alias("y")))
             margins = parts[0]
             for part in parts[1:]:
@@ -117,7 +145,7 @@ class SvmClassifier:
     def _sigmoid(margins: DataFrame):
         # Soft targets (n1+1)/(n1+2) and 1/(n0+2): each row counts towards both
         # classes with complementary weights.
-        size = margins.agg(F.count_if("y = 1").alias("n1"), F.count_if("y = 0").alias("n0")).first()
+        size = margins.agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")).first()
         target = F.when(F.col("y") == 1, F.lit((size.n1 + 1.0) / (size.n1 + 2.0))).otherwise(
             F.lit(1.0 / (size.n0 + 2.0))
         )
@@ -132,22 +160,29 @@ class SvmClassifier:
         return estimator.fit(soft)
 
 
-def cross_validate(classifier, rows: DataFrame, k: int = 5, features: str = "features", y: str = "y") -> DataFrame:
-    """Weighted F1 of each stratified fold as ``fold, f1``."""
-    if not hasattr(classifier, "fit") or type(classifier).__name__ == "IsolationForest":
+def cross_validate(
+    classifier, rows: DataFrame, k: int = 5, features: str = "features", y: str = "y", parallelism: int | None = None
+) -> DataFrame:
+    """Weighted F1 of each stratified fold as ``fold, f1``; folds are fitted side by side."""
+    if type(classifier).__name__ == "IsolationForest":
         raise ValueError("cross-validation needs a supervised classifier")
     folded = stratified_folds(rows, k, label=y).persist()
     measure = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="_predicted", metricName="f1")
+
+    def run(fold: int) -> float:
+        model = classifier.fit(folded.filter(F.col("fold") != fold), features, y)
+        tested = score(model, folded.filter(F.col("fold") == fold))
+        pair = tested.select(
+            F.col(y).cast("double").alias("_label"), F.col("prediction").cast("double").alias("_predicted")
+        )
+        return float(measure.evaluate(pair))
+
     try:
-        scores = []
-        for fold in range(k):
-            model = classifier.fit(folded.filter(F.col("fold") != fold), features, y)
-            tested = score(model, folded.filter(F.col("fold") == fold))
-            pair = tested.select(F.col(y).cast("double").alias("_label"), F.col("prediction").cast("double").alias("_predicted"))
-            scores.append((fold, float(measure.evaluate(pair))))
+        folded.count()
+        scores = in_parallel([lambda fold=fold: run(fold) for fold in range(k)], parallelism or k)
     finally:
         folded.unpersist()
-    return rows.sparkSession.createDataFrame(scores, "fold int, f1 double")
+    return rows.sparkSession.createDataFrame(list(enumerate(scores)), "fold int, f1 double")
 
 
 def rank_features(weights: DataFrame, n: int = 10, signed: bool = True) -> DataFrame:
