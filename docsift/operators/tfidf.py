@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import clean_text
 from ..functions.stopwords import ENGLISH
-from ..functions.tokens import terms, tokens
+from ..functions.tokens import ngrams, terms, tokens
 
+# Most words that the bigram pass carries in its plan; beyond, it counts all bigrams.
+FREQUENT_LIMIT = 50_000
 TERM_SCHEMA = "feature_index int, feature_name string, df bigint, ctf bigint, idf double"
 
 
@@ -155,16 +157,23 @@ class Tfidf:
         # Every occurrence of a bigram is an occurrence of both its words. So a
         # bigram reaches the top only if its words pass min_df and occur at least
         # as often as the last of the top unigrams, whose count is `floor`. Only
-        # such bigrams are shuffled, instead of all bigrams of the collection.
+        # such bigrams are counted, instead of all bigrams of the collection.
         unigrams = term_stats(words.select(F.col("words").alias("terms"))).filter(F.col("df") >= self.min_df)
         unigrams = unigrams.persist()
         try:
             best = self._cut(unigrams).collect()
             floor = best[-1].ctf if len(best) == self.max_features else 0
-            frequent = unigrams.filter(F.col("ctf") >= floor).select("term")
-            bigrams = bigram_stats(words, frequent).filter((F.col("df") >= self.min_df) & (F.col("ctf") >= floor))
-            local = words.sparkSession.createDataFrame(best, unigrams.schema) if best else unigrams.limit(0)
-            return self._cut(local.unionByName(bigrams)).collect()
+            frequent = unigrams.filter(F.col("ctf") >= floor).select("term").limit(FREQUENT_LIMIT + 1).collect()
+            candidates = F.col("words")
+            if len(frequent) <= FREQUENT_LIMIT:
+                # The words go into the plan as a hash set; a gap is a null, which no bigram survives.
+                kept = [r.term for r in frequent]
+                candidates = F.transform("words", lambda w: F.when(w.isin(kept), w))
+            pairs = words.select(candidates.alias("words")).select(ngrams(F.col("words"), 2).alias("terms"))
+            bigrams = term_stats(pairs).filter((F.col("df") >= self.min_df) & (F.col("ctf") >= floor))
+            # Both sides are cut to max_features rows.
+            rivals = best + self._cut(bigrams).collect()
+            return sorted(rivals, key=lambda r: (-r.ctf, r.term))[: self.max_features]
         finally:
             unigrams.unpersist()
 
@@ -188,27 +197,3 @@ def term_stats(docs: DataFrame) -> DataFrame:
     )
     rows = docs.select(F.explode_outer(marked).alias("e")).select("e.*").filter("term IS NOT NULL")
     return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("ctf"))
-
-
-def bigram_stats(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``term_stats`` of the bigrams whose words are both in ``frequent``."""
-    pairs = F.zip_with(
-        "words",
-        F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))),
-        lambda a, b: F.when(b.isNotNull(), F.struct(a.alias("a"), b.alias("b"))),
-    )
-    marked = F.concat(
-        F.transform("pairs", lambda p: F.struct(p.a.alias("a"), p.b.alias("b"), F.lit(0).alias("d"), F.lit(1).alias("c"))),
-        F.transform(
-            F.array_distinct("pairs"),
-            lambda p: F.struct(p.a.alias("a"), p.b.alias("b"), F.lit(1).alias("d"), F.lit(0).alias("c")),
-        ),
-    )
-    staged = docs.select(F.array_compact(pairs).alias("pairs"))
-    rows = staged.select(F.explode_outer(marked).alias("e")).select("e.*").filter("a IS NOT NULL")
-    # The word list is small unless very many words tie at the cut, so the way
-    # to join is left to its size at run time.
-    rows = rows.join(frequent.withColumnRenamed("term", "a"), "a", "left_semi")
-    rows = rows.join(frequent.withColumnRenamed("term", "b"), "b", "left_semi")
-    sums = rows.groupBy("a", "b").agg(F.sum("d").alias("df"), F.sum("c").alias("ctf"))
-    return sums.select(F.concat("a", F.lit(" "), "b").alias("term"), "df", "ctf")

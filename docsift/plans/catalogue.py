@@ -23,7 +23,7 @@ from ..operators import selection as S
 from ..operators.neighbours import nearest
 from ..operators.smote import smote
 from ..operators.tfidf import TextCleaner, Tfidf, TfidfModel
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import cache, exchange, files, pages, registry, sinks
 from ..streaming import labels as label_stream
 from ..streaming import score as score_stream
@@ -85,7 +85,8 @@ def training_texts(spark, folder) -> DataFrame:
 
 
 def fitted(spark, folder) -> tuple[DataFrame, TfidfModel]:
-    train = training_texts(spark, folder)
+    """The cleaned training texts, written once and read by the fit and the transform."""
+    train = materialize(training_texts(spark, folder), "train")
     return train, Tfidf().fit(train)
 
 

@@ -31,9 +31,8 @@ def label_rows(spark: SparkSession, folder: str, column: str = "quality") -> Dat
 
 def labelled_documents(spark: SparkSession, folder: str, column: str = "quality") -> DataFrame:
     """Documents that have a label, with ``y``."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    rows = docs.join(label_rows(spark, folder, column).select("doc_id", "filename", "y"), "doc_id")
-    return spread(rows, "doc_id")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return docs.join(label_rows(spark, folder, column).select("doc_id", "filename", "y"), "doc_id")
 
 
 def embedding_cache(spark: SparkSession, folder: str) -> DataFrame:
