@@ -13,7 +13,7 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomFores
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MODEL_TYPES
@@ -32,10 +32,11 @@ def pack(rows: DataFrame, n: int) -> DataFrame:
     return rows.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION)))
 
 
-def in_parallel(jobs: list, threads: int) -> list:
+def in_parallel(spark: SparkSession, jobs: list, threads: int) -> list:
     """Results of independent Spark jobs, submitted from several driver threads."""
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max(1, threads)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(inherit(job)) for job in jobs]]
 
 
 def create_classifier(model_type: str | None = None, mode: str = "supervised", seed: int = 42):
@@ -127,7 +128,7 @@ class SvmClassifier:
             # The model of all rows, and one per fold for margins on rows it has not seen.
             training = [held] + [held.filter(F.col("_fold") != fold) for fold in range(self.folds)]
             final, *fitted = in_parallel(
-                [lambda part=part: self._margins(part, features, y) for part in training], len(training)
+                rows.sparkSession, [lambda part=part: self._margins(part, features, y) for part in training], len(training)
             )
             parts = []
             for fold, model in enumerate(fitted):
@@ -179,7 +180,7 @@ def cross_validate(
 
     try:
         folded.count()
-        scores = in_parallel([lambda fold=fold: run(fold) for fold in range(k)], parallelism or k)
+        scores = in_parallel(rows.sparkSession, [lambda fold=fold: run(fold) for fold in range(k)], parallelism or k)
     finally:
         folded.unpersist()
     return rows.sparkSession.createDataFrame(list(enumerate(scores)), "fold int, f1 double")

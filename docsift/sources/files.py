@@ -10,7 +10,10 @@ from ..functions.paths import file_name, stem, suffix
 
 
 def list_files(spark: SparkSession, folder: str, file_type: str = "txt") -> DataFrame:
-    """``path, filename, doc_id, size_kb`` of one file type, in path order. No content is read."""
+    """``path, filename, doc_id, size_kb`` of one file type, in path order. No content is read.
+
+    Spark's file scan leaves out files of zero bytes, which hold no text anyway.
+    """
     if file_type not in FILE_TYPES:
         raise ValueError(f"unknown file type {file_type!r}; choose one of {', '.join(FILE_TYPES)}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{file_type}").load(folder)
@@ -36,12 +39,14 @@ def decode_text(content: Column) -> Column:
     return F.coalesce(F.regexp_replace(text, "\r\n?", "\n"), F.lit(""))
 
 
-def read_texts(spark: SparkSession, folder: str, keep_empty: bool = False) -> DataFrame:
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, filename, text`` of the text files of a folder; empty ones are dropped."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
     path = F.col("path")
-    texts = files.select(stem(path).alias("doc_id"), file_name(path).alias("filename"), decode_text(F.col("content")).alias("text"))
-    return texts if keep_empty else texts.filter("text != ''")
+    texts = files.select(
+        stem(path).alias("doc_id"), file_name(path).alias("filename"), decode_text(F.col("content")).alias("text")
+    )
+    return texts.filter("text != ''")
 
 
 def by_file_type(files: DataFrame) -> tuple[DataFrame, DataFrame]:
