@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import anomaly_to_label
-from .ranking import quantile
+from .ranking import hash_sample, quantile
 
 TREE_SCHEMA = "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<int>"
 
@@ -81,12 +81,13 @@ class IsolationForest:
     sample: int = 256
 
     def fit(self, rows: DataFrame, features: str = "features", y: str | None = None, key: str = "doc_id"):
-        # A uniform pool of trees x sample rows bounds everything below.
-        order = F.xxhash64(F.col(key), F.lit(self.seed))
-        pool = rows.select(key, vector_to_array(features).alias("x")).orderBy(order, key).limit(self.trees * self.sample)
+        # A uniform pool of trees x sample keys bounds everything below. Trees draw
+        # keys; only the drawn rows bring their vectors along.
+        pool = hash_sample(rows, key, self.trees * self.sample, rows.count(), self.seed)
         copies = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
         pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.col(key), F.col("tree"), F.lit(self.seed)), key)
         drawn = copies.withColumn("_rank", F.row_number().over(pick)).filter(F.col("_rank") <= self.sample)
+        drawn = rows.select(key, vector_to_array(features).alias("x")).join(drawn, key)
         seed = self.seed
 
         def build(frame: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .ranking import hash_sample
 
 FOUND = "key bigint, near bigint, gap double"
 
@@ -63,9 +64,10 @@ def nearest(points: DataFrame, k: int, max_bytes: int = 256 << 20, block_rows: i
 
 
 def _nearest_shared(points: DataFrame, k: int) -> DataFrame:
-    rows = points.select("key", "x").orderBy("key").collect()
-    ids = np.array([r.key for r in rows], dtype=np.int64)
-    matrix = np.array([r.x for r in rows], dtype=float)
+    table = points.select("key", "x").orderBy("key").toArrow()
+    ids = table["key"].to_numpy().astype(np.int64)
+    flat = table["x"].combine_chunks().flatten().to_numpy()
+    matrix = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
     shared = points.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(frames):
@@ -87,8 +89,8 @@ def _nearest_in_cells(points: DataFrame, n: int, k: int, block_rows: int, pivots
     closer to q than d(q, p) - r. Blocks are read once and visitors stream past
     them, so a task holds one block at a time however many visitors come.
     """
-    count = min(pivots, math.ceil(n / block_rows))
-    sample = points.orderBy(F.xxhash64("key"), "key").limit(count).select("x").collect()
+    count = min(pivots, math.ceil(n / block_rows), n)
+    sample = points.join(hash_sample(points, "key", count, n), "key", "left_semi").select("x").collect()
     context = points.sparkSession.sparkContext
     centres = context.broadcast(np.array([r.x for r in sample], dtype=float))
 

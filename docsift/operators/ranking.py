@@ -57,6 +57,19 @@ def split_points(df: DataFrame, key: str, rows_per_bucket: int = 1_000_000, max_
     return sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)}) if keys else []
 
 
+def hash_sample(df: DataFrame, key: str, size: int, n: int, seed: int = 42) -> DataFrame:
+    """Uniform sample of ``size`` of the ``n`` keys (all, if fewer), the same in every run.
+
+    A hash threshold lets through half as much again as needed, so the final
+    top-k sees few rows however large the table is. It carries keys only.
+    """
+    keys = df.select(key)
+    if n > 2 * size:
+        keep = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(n)) < int(1.5 * size) + 100
+        keys = keys.filter(keep)
+    return keys.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)
+
+
 def range_bucket(key: str, points: list) -> Column:
     """Index of the bucket a key falls into."""
     if not points:

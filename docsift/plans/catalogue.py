@@ -437,13 +437,14 @@ def predictions_rule_table(spark, folder):
 
 
 def _batches(spark, folder):
-    """Each conversation as a batch with one item per turn; some batches are malformed."""
+    """Up to 64 turns of a conversation as one batch; some batches are malformed."""
     turns = T.table(spark, folder, "conversations").withColumn(
         "id", F.concat(F.when(F.col("conv_id") % 10 == 3, F.lit("id-")).otherwise(F.lit("id")), (F.col("turn") % 3).cast("string"))
     )
     item = F.struct("turn", "id", F.col("text").alias("content"))
     ordered = F.transform(F.array_sort(F.collect_list(item)), lambda i: F.struct(i["id"].alias("id"), i["content"].alias("content")))
-    return turns.groupBy(F.col("conv_id").alias("batch_id")).agg(F.to_json(ordered).alias("payload"))
+    batch = F.expr("conv_id * 1000003 + turn div 64")
+    return turns.groupBy(batch.alias("batch_id")).agg(F.to_json(ordered).alias("payload"))
 
 
 def exchange_batches(spark, folder):

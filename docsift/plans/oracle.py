@@ -216,10 +216,11 @@ SELECT filename, prediction, round(confidence, 6) AS confidence, confidence < 75
   CASE WHEN confidence < 75 THEN 'manual_check' WHEN prediction = 1 THEN 'useful' ELSE 'not_useful' END AS route FROM c"""
 SQL["predictions_rule_table"] = f"""WITH {SCORED}
 SELECT filename, prediction, round(score, 6) AS anomaly_score, CASE WHEN prediction = 1 THEN 'useful' ELSE 'not_useful' END AS label FROM scored"""
-SQL["exchange_batches"] = """SELECT conv_id AS batch_id, conv_id % 10 <> 3 AS valid,
-  CASE WHEN conv_id % 10 <> 3 THEN count(*)::INTEGER END AS n_items FROM conversations GROUP BY conv_id"""
+SQL["exchange_batches"] = """SELECT conv_id * 1000003 + turn // 64 AS batch_id, conv_id % 10 <> 3 AS valid,
+  CASE WHEN conv_id % 10 <> 3 THEN count(*)::INTEGER END AS n_items FROM conversations GROUP BY conv_id, turn // 64"""
 ITEMS = """items AS (
-  SELECT conv_id AS batch_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pos,
+  SELECT conv_id * 1000003 + turn // 64 AS batch_id,
+         (row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) - 1)::INTEGER AS pos,
          'id' || (turn % 3) AS id, text FROM conversations WHERE conv_id % 10 <> 3),
 docs AS MATERIALIZED (
   SELECT batch_id, min(pos) AS pos, id || '.txt' AS filename, arg_max(text, pos) AS text FROM items GROUP BY batch_id, id)"""
