@@ -108,11 +108,11 @@ class SvmClassifier:
     folds: int = 5
     max_iter: int = 200
 
-    def _margins(self, rows: DataFrame, features: str, y: str):
+    def _margins(self, rows: DataFrame, features: str, y: str, max_iter: int):
         n = rows.count()
         estimator = LinearSVC(
             featuresCol=features, labelCol=y, weightCol="weight", regParam=1.0 / n, standardization=False,
-            maxIter=self.max_iter,
+            maxIter=max_iter,
         )
         weighted = pack(add_class_weights(rows, y), n).persist()
         try:
@@ -125,11 +125,13 @@ class SvmClassifier:
         held = rows.withColumn("_fold", key).persist()
         slicer = VectorSlicer(inputCol="rawPrediction", outputCol="_margin", indices=[1])
         try:
-            # The model of all rows, and one per fold for margins on rows it has not seen.
-            training = [held] + [held.filter(F.col("_fold") != fold) for fold in range(self.folds)]
-            final, *fitted = in_parallel(
-                rows.sparkSession, [lambda part=part: self._margins(part, features, y) for part in training], len(training)
-            )
+            # The model of all rows, and one per fold for margins on rows it has not
+            # seen. Those feed the sigmoid only, so half the iterations will do.
+            jobs = [lambda: self._margins(held, features, y, self.max_iter)]
+            for fold in range(self.folds):
+                seen = held.filter(F.col("_fold") != fold)
+                jobs.append(lambda seen=seen: self._margins(seen, features, y, self.max_iter // 2))
+            final, *fitted = in_parallel(rows.sparkSession, jobs, len(jobs))
             parts = []
             for fold, model in enumerate(fitted):
                 scored = slicer.transform(model.transform(held.filter(F.col("_fold") == fold)))
