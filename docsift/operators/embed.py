@@ -72,11 +72,19 @@ def split_embeddings(docs: DataFrame, cache: DataFrame, dim: int) -> tuple[DataF
 
 
 def embed_incremental(
-    docs: DataFrame, cache: DataFrame, encoder: Encoder, dim: int, text: str = "clean"
+    docs: DataFrame,
+    cache: DataFrame,
+    encoder: Encoder,
+    dim: int,
+    text: str = "clean",
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """All embeddings of the documents, and the new ones to append to the cache."""
+    """All embeddings of the documents, and the new ones to append to the cache.
+
+    ``prepare`` (such as the cleaning) then runs for the missing documents only.
+    """
     hits, misses = split_embeddings(docs, cache, dim)
-    new = encode(misses, encoder, dim, text)
+    new = encode(prepare(misses) if prepare else misses, encoder, dim, text)
     return hits.unionByName(new), new
 
 

@@ -357,8 +357,9 @@ def embedding_misses(spark, folder):
 
 
 def embed_missing(spark, folder):
-    docs = D.clean_documents(T.documents(spark, folder)).select("doc_id", "clean")
-    return E.embed_incremental(docs, T.embedding_cache(spark, folder), E.HashingEncoder(64), 64)[1]
+    docs = T.documents(spark, folder).select("doc_id", "text")
+    cached = T.embedding_cache(spark, folder)
+    return E.embed_incremental(docs, cached, E.HashingEncoder(64), 64, prepare=D.clean_documents)[1]
 
 
 # Evaluation

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsift.operators import labels as L
-from docsift.operators.ranking import order_statistic, quantile, range_bucket, segment_by_rank, split_points
+from docsift.operators.ranking import hash_sample, order_statistic, quantile, range_bucket, segment_by_rank, split_points
 
 
 def files(spark, n_useful, n_other):
@@ -77,6 +77,13 @@ def test_order_statistics(spark):
         assert quantile(frame, "v", q) == pytest.approx(np.percentile(values, 100 * q))
 
 
+def test_hash_sample(spark):
+    for n, size in ((5000, 100), (150, 100), (20, 100)):
+        rows = spark.range(n)
+        first = {r.id for r in hash_sample(rows, "id", size, n).collect()}
+        assert len(first) == min(n, size) and first == {r.id for r in hash_sample(rows.repartition(3), "id", size, n).collect()}
+
+
 def test_attach_labels(spark):
     docs = spark.createDataFrame([("a",), ("b",), ("c",)], "filename string")
     labels = spark.createDataFrame([("a", "useful", 1), ("a", "not_useful", 2), ("b", "not_useful", 3)], "filename string, label string, line int")

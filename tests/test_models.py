@@ -161,6 +161,8 @@ def test_embeddings(spark):
     got = {r.doc_id: r.embedding for r in every.collect()}
     assert got[3] == [1.0, 0.0] and got[2] == [0.0, 0.0] and len(got) == 4 and new.count() == 3
     assert np.linalg.norm(got[4]) == pytest.approx(1.0)
+    upper = embed_incremental(docs, cache, HashingEncoder(2), 2, prepare=lambda d: d.withColumn("clean", F.upper("clean")))[1]
+    assert {r.doc_id for r in upper.collect()} == {1, 2, 4}
     with pytest.raises(Exception, match="encoder returned"):
         encode(docs, lambda texts: np.zeros((len(texts), 3)), 2).collect()
 
