@@ -11,7 +11,7 @@ GOLDEN = [
     (None, ""),
     ("", ""),
     ("       ", ""),
-    ("Please contact admin@femu.com or visit https://github.com for more information",
+    ("Please contact admin@site.org or visit https://github.com for more information",
      "please contact or visit for more information"),
     ("12.5 1.2.3 10.5", "12 1 2 10"),
     ("v79 3.14, 42.", "v79 3"),
