@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables, visible to every executor.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    driver and executors share one disk, may fall back to a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
+    tests, it is ``_scratch`` below the warehouse, which all executors share too.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    created = tempfile.mkdtemp(prefix="docsift-")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
+    created = f"{warehouse.rstrip('/')}/_scratch"
     spark.conf.set("spark.checkpoint.dir", created)
     return created
 
