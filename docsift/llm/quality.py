@@ -126,7 +126,7 @@ RULES = (
     Rule("word_length", lambda f: (f.word_chars < 2 * f.n_words) | (f.word_chars > 15 * f.n_words)),
     Rule("capitals", lambda f: 2 * f.n_upper > f.n_letters),
     Rule("no_letters", lambda f: 10 * f.n_lettered < 7 * f.n_words),
-    Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 3 * f.n_lines),
+    Rule("repeated_lines", lambda f: 2 * f.n_dup_lines > f.n_lines),
 )
 BASE = ("few_words", "repetition")
 
