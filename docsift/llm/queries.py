@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, quality
+from . import minhash, packing, prefix_counts, quality
 from .common import table
+from .tokens import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +35,8 @@ def _packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_minhash_near_dedup")
 def _near(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), percent=85)
+
+
+@query("op9_token_counts")
+def _counts(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_counts.token_counts(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
