@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, prefix_counts, quality
+from . import minhash, packing, prefix_counts, quality, substrings
 from .common import table
 from .tokens import tokenizer_path
 
@@ -40,3 +40,8 @@ def _near(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_token_counts")
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op7_substring_dedup")
+def _substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup_report(table(spark, folder, "documents"))
