@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, prefix_counts, quality, substrings
+from . import minhash, packing, pii, prefix_counts, quality, substrings
 from .common import table
 from .tokens import tokenizer_path
 
@@ -45,3 +45,8 @@ def _counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_substring_dedup")
 def _substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.dedup_report(table(spark, folder, "documents"))
+
+
+@query("op6_pii")
+def _pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pii_report(table(spark, folder, "documents"))
