@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, packing, pii, prefix_counts, quality, substrings
+from . import minhash, packing, pii, prefix_counts, quality, substrings, topk
 from .common import table
 from .tokens import tokenizer_path
 
@@ -50,3 +51,8 @@ def _substrings(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_pii")
 def _pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_report(table(spark, folder, "documents"))
+
+
+@query("op5_exact_topk")
+def _topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
