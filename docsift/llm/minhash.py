@@ -4,7 +4,9 @@
    minima under many universal hash functions become its signature.
 2. Texts with equal sets are one node, whatever their number; its document is the
    smallest. Everything below works on nodes.
-3. Bands of the signature put nodes into buckets. In a bucket, not all pairs are
+3. Bands of the signature put nodes into buckets. A node of which too few shingles
+   occur in any other node of the buckets cannot have a link and leaves them (a shingle
+   that is nobody else's counts for the union only). In a bucket, not all pairs are
    compared: a pivot is compared with all others. The first pivot is the node that
    shares most buckets with others, which is the original among its edited copies.
    A bucket whose nodes are connected is done. In the others the compared pivots are
@@ -149,6 +151,14 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return arrow_map(chosen, work, "node long, set array<long>")
 
 
+def linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """``node, size`` of the sets of which ``percent`` or more also occurs in others, as a link takes."""
+    shingles = sets.select("node", F.size("set").alias("size"), F.explode("set").alias("shingle"))
+    common = stored(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "common")
+    shared = shingles.join(common, "shingle", "left_semi").groupBy("node", "size").agg(F.count("*").alias("n"))
+    return shared.where(F.col("n") * 100 >= F.col("size") * percent).select("node", "size")
+
+
 def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int, size: int = SHINGLE) -> DataFrame:
     """``node, component`` of the nodes that are linked with another. ``nodes`` has ``node, signature``."""
     buckets = stored(band_keys(nodes, bands, rows).distinct(), "buckets")
@@ -157,17 +167,21 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int
     ids = stored(members.groupBy("node").agg(F.sum("n").alias("meets")), "meets")
     sets = stored(full_sets(docs, ids.select("node"), size), "sets")
     marks = stored(nodes.join(ids.select("node"), "node", "left_semi").select("node", "signature"), "marks")
-    open_ = stored(members.select("node", "key").join(ids, "node"), "open")
+    able = stored(linkable(sets, percent), "linkable")
+    open_ = stored(members.select("node", "key").join(ids.join(able, "node"), "node"), "open")
     found, tried, labels, draw = None, None, None, 0
     while True:
         if draw == 0:
             chief = F.max_by("node", F.struct(F.col("meets"), -F.col("node")))
-            pivots = open_.groupBy("key").agg(chief.alias("pivot"))
+            pivots = open_.groupBy("key").agg(chief.alias("pivot")).join(able.toDF("pivot", "its_size"), "pivot")
         else:  # about 4 ** draw of each bucket, all of a bucket that has no more
             spread = F.pmod(F.xxhash64("node", F.lit(draw)), F.col("n"))
-            pivots = open_.where(spread < 4**draw).select("key", F.col("node").alias("pivot"), F.col("component").alias("own"))
+            pivots = open_.where(spread < 4**draw).select(
+                "key", F.col("node").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("its_size")
+            )
         pivots = stored(pivots, "pivots")
-        pairs = open_.join(pivots, "key").where("node != pivot")
+        alike = F.least("size", "its_size") * 100 >= F.greatest("size", "its_size") * percent
+        pairs = open_.join(pivots, "key").where((F.col("node") != F.col("pivot")) & alike)
         if draw:
             pairs = pairs.where("component != own")
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()

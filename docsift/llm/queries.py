@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, pii, prefix_counts, quality, substrings, topk
+from . import lattice, minhash, packing, pii, prefix_counts, quality, substrings, token_files, topk, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -56,3 +56,78 @@ def _pii(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_exact_topk")
 def _topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op2_sentencepiece_sampling")
+def _sampled(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.encode(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"), seed=2024)
+
+
+@query("op8_token_output")
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.through_files(table(spark, folder, "documents"))
+
+
+URL_RULES = (
+    urls.UrlRule("net", "/", "block"),
+    urls.UrlRule("example.net", "/en/", "allow"),
+    urls.UrlRule("example.com", "/de/", "block"),
+    urls.UrlRule("org", "/fr/", "allow"),
+)
+
+
+@query("op10_url_filters")
+def _urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels go by number: a page is bad if the label of its number says poor or toxic."""
+    pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    labelled = pages.select(F.col("page_id").alias("doc_id"), "url").join(labels.select("doc_id", bad.alias("bad")), "doc_id")
+    return urls.judge(pages, labelled.select("url", "bad"), URL_RULES)
+
+
+def _posterior_sql(level: str, units: str, key: str, above: str, on: str) -> str:
+    mean = f"(u.bad - u.n * m.a / (m.a + m.b)) * (u.bad - u.n * m.a / (m.a + m.b))"
+    noise = "u.n * (m.a / (m.a + m.b)) * (1 - m.a / (m.a + m.b))"
+    return f"""
+    {level}_rho AS (SELECT sum({mean} - {noise}) AS excess, sum({noise} * (u.n - 1)) AS room FROM {units} u JOIN {above} m ON {on}),
+    {level}_s AS (SELECT least(greatest(CASE WHEN room IS NULL OR room <= 0 OR excess <= 0 THEN 200.0
+        WHEN excess >= room THEN 2.0 ELSE room / excess - 1 END, 2.0), 200.0) AS s FROM {level}_rho),
+    {level}_p AS (SELECT u.{key} AS k, m.a / (m.a + m.b) * s + u.bad AS a, (1 - m.a / (m.a + m.b)) * s + u.n - u.bad AS b
+        FROM {units} u JOIN {above} m ON {on} CROSS JOIN {level}_s)"""
+
+
+_HOST = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_DOMAIN = "CASE WHEN len(p) < 2 THEN host WHEN {two} AND len(p) > 2 THEN p[-3] || '.' || p[-2] || '.' || p[-1] ELSE p[-2] || '.' || p[-1] END"
+_TWO = "(len(p) >= 2 AND p[-2] || '.' || p[-1] IN (" + ", ".join(f"'{x}'" for x in urls.TWO_LABELS) + "))"
+
+SQL["op10_url_filters"] = f"""
+WITH own AS (
+    SELECT page_id, url, {_HOST} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+parts AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM own),
+named AS (SELECT host, {_DOMAIN.format(two=_TWO)} AS domain, CASE WHEN {_TWO} THEN p[-2] || '.' || p[-1] ELSE p[-1] END AS suffix FROM parts),
+hosts AS (
+    SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n,
+        sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1.0 ELSE 0.0 END) AS bad
+    FROM own JOIN labels ON page_id = doc_id JOIN named USING (host) GROUP BY host),
+domains AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
+whole AS (SELECT coalesce(sum(bad), 0) + 0.5 AS a, coalesce(sum(n) - sum(bad), 0) + 0.5 AS b FROM suffixes),
+{_posterior_sql("suffix", "suffixes", "suffix", "whole", "true").strip()},
+{_posterior_sql("domain", "domains", "domain", "suffix_p", "u.suffix = m.k").strip()},
+{_posterior_sql("host", "hosts", "host", "domain_p", "u.domain = m.k").strip()},
+known AS (
+    SELECT named.host, coalesce(h.a, d.a, s.a, w.a) AS a, coalesce(h.b, d.b, s.b, w.b) AS b
+    FROM named LEFT JOIN host_p h ON named.host = h.k LEFT JOIN domain_p d ON named.domain = d.k
+        LEFT JOIN suffix_p s ON named.suffix = s.k CROSS JOIN whole w),
+ruled AS (
+    SELECT page_id, host, path, CASE
+        WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+    FROM own)
+SELECT page_id, ruled.host AS host, path, rule, CASE
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN a / (a + b) - 1.64 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled JOIN known ON ruled.host = known.host
+"""
