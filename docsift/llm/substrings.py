@@ -325,7 +325,8 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``; other columns and what stands between kept words are as before."""
-    others = [c for c in docs.columns if c != "text"]
+    names = docs.columns
+    others = [c for c in names if c != "text"]
     marked = _marked(docs, repeated_spans(docs, window), *others)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -343,6 +344,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                         out.append(data[start[a] : end[b - 1]])
                     texts[i] = b"\n".join(out).decode()
                 columns = {c: part.column(c) for c in others} | {"text": pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], names=docs.columns)
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     return marked.mapInArrow(run, docs.schema)
