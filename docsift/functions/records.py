@@ -15,15 +15,18 @@ def pipeline_version(model: Column, tfidf: Column, scaler: Column) -> Column:
     return F.concat_ws(" | ", part("model", model), part("tfidf", tfidf), part("scaler", scaler))
 
 
+def in_utc(at: Column) -> Column:
+    """A timestamp that the session's time zone shows as the UTC time of ``at``."""
+    return F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone())
+
+
 def record_id(at: Column, filename: Column) -> Column:
-    return F.concat(F.date_format(at, "yyyyMMddHHmmssSSSSSS"), F.lit("_"), filename)
+    return F.concat(F.date_format(in_utc(at), "yyyyMMddHHmmssSSSSSS"), F.lit("_"), filename)
 
 
 def iso_utc(at: Column) -> Column:
-    """ISO-8601 with offset; the session time zone must be UTC.
-
-    Microseconds are left out when they are zero.
-    """
+    """ISO-8601 in UTC with offset. Microseconds are left out when they are zero."""
+    at = in_utc(at)
     seconds = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format(at, "SSSSSS")
     return F.concat(

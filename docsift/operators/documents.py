@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -18,9 +16,9 @@ def clean_documents(
 ) -> DataFrame:
     """Add ``clean``, ``n_raw``, ``n_clean`` and ``reduction`` to documents.
 
-    The observed counters report the batch while it runs. They also keep later
-    filters on ``clean`` above this step; pushed below it they would run the
-    cleaning twice.
+    With an ``observation``, its counters report the batch while it runs. They also
+    keep filters and column pruning from reaching below this step, so it is for
+    callers that want the whole batch.
     """
     cleaned = docs.withColumn("clean", clean_text("text", lowercase, remove_special_chars))
     counters = [
@@ -30,8 +28,6 @@ def clean_documents(
     ]
     if observation is not None:
         cleaned = cleaned.observe(observation, *counters)
-    else:
-        cleaned = cleaned.observe(f"clean-{uuid.uuid4().hex[:8]}", *counters)
     return cleaned.select(
         "*",
         F.coalesce(F.length("text"), F.lit(0)).alias("n_raw"),

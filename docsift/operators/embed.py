@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import FEATURE_MODES
 from ..schemas import EMBEDDINGS
+from ..session import materialize
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -66,7 +67,7 @@ def split_embeddings(docs: DataFrame, cache: DataFrame, dim: int) -> tuple[DataF
     texts move only where misses are too many to broadcast.
     """
     sound = cache.filter((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull()))
-    hits = sound.select("doc_id", "embedding").join(docs.select("doc_id"), "doc_id", "left_semi")
+    hits = sound.select("doc_id", "embedding").join(docs.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     missing = docs.select("doc_id").join(sound.select("doc_id"), "doc_id", "left_anti")
     return hits, docs.join(missing, "doc_id", "left_semi")
 
@@ -81,10 +82,11 @@ def embed_incremental(
 ) -> tuple[DataFrame, DataFrame]:
     """All embeddings of the documents, and the new ones to append to the cache.
 
-    ``prepare`` (such as the cleaning) then runs for the missing documents only.
+    ``prepare`` (such as the cleaning) then runs for the missing documents only. New
+    embeddings are written once and read from there, however often they are used.
     """
     hits, misses = split_embeddings(docs, cache, dim)
-    new = encode(prepare(misses) if prepare else misses, encoder, dim, text)
+    new = materialize(encode(prepare(misses) if prepare else misses, encoder, dim, text), "embeddings")
     return hits.unionByName(new), new
 
 

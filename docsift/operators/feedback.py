@@ -36,9 +36,9 @@ def feedback_records(feedback: DataFrame, at: str = "at", strict: bool = False)
     """
     labels = ", ".join(sorted(VALID_LABELS))
     checks = [
-        (is_blank(F.col("filename")), "Filename cannot be empty"),
-        (_invalid(F.col("predicted_label")), f"Predicted label must be one of {labels}"),
-        (_invalid(F.col("human_label")), f"Human label must be one of {labels}"),
+        (is_blank(F.col("filename")), "no file name"),
+        (_invalid(F.col("predicted_label")), f"the predicted label is none of {labels}"),
+        (_invalid(F.col("human_label")), f"the human label is none of {labels}"),
     ]
     accepted, rejected = _partition(feedback, checks, strict)
     records = (
@@ -57,11 +57,11 @@ def feedback_records(feedback: DataFrame, at: str = "at", strict: bool = False)
 def valid_corrections(corrections: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Corrections with a proper decision and file type, and the rejected ones."""
     checks = [
-        (_invalid(F.col("decision")), f"decision must be one of {', '.join(sorted(VALID_LABELS))}"),
+        (_invalid(F.col("decision")), f"the decision is none of {', '.join(sorted(VALID_LABELS))}"),
     ]
     if "file_type" in corrections.columns:
         bad_type = F.coalesce(~F.col("file_type").isin(*FILE_TYPES), F.lit(True))
-        checks.append((bad_type, f"file type must be one of {', '.join(FILE_TYPES)}"))
+        checks.append((bad_type, f"the file type is none of {', '.join(FILE_TYPES)}"))
     return _partition(corrections, checks, strict)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import anomaly_to_label
-from .ranking import hash_sample, quantile
+from .ranking import quantile
 
 TREE_SCHEMA = "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<int>"
 
@@ -81,13 +81,18 @@ class IsolationForest:
     sample: int = 256
 
     def fit(self, rows: DataFrame, features: str = "features", y: str | None = None, key: str = "doc_id"):
-        # A uniform pool of trees x sample keys bounds everything below. Trees draw
-        # keys; only the drawn rows bring their vectors along.
-        pool = hash_sample(rows, key, self.trees * self.sample, rows.count(), self.seed)
-        copies = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
-        pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.col(key), F.col("tree"), F.lit(self.seed)), key)
-        drawn = copies.withColumn("_rank", F.row_number().over(pick)).filter(F.col("_rank") <= self.sample)
-        drawn = rows.select(key, vector_to_array(features).alias("x")).join(drawn, key)
+        # Each tree draws from all rows by a hash of its own, a few more than it needs,
+        # and keeps those with the smallest hash. Rows go to the trees that drew them.
+        share = min(1.0, (self.sample + 8 * self.sample**0.5) / max(rows.count(), 1))
+        limit = int(share * (1 << 40))
+
+        def draw(tree):
+            return F.pmod(F.xxhash64(F.col(key), tree, F.lit(self.seed)), F.lit(1 << 40))
+
+        trees = F.filter(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: draw(t) < limit)
+        drawn = rows.select(key, vector_to_array(features).alias("x"), F.explode(trees).alias("tree"))
+        pick = Window.partitionBy("tree").orderBy(draw(F.col("tree")), key)
+        drawn = drawn.withColumn("_rank", F.row_number().over(pick)).filter(F.col("_rank") <= self.sample)
         seed = self.seed
 
         def build(frame: pd.DataFrame) -> pd.DataFrame:

@@ -84,6 +84,13 @@ def first_labels(labels: DataFrame, order: str | None = None) -> DataFrame:
     return labels.groupBy("filename").agg(F.min_by("label", order).alias("label"))
 
 
+def first_rows(labels: DataFrame, order: str | None = None) -> DataFrame:
+    """``filename, y, split`` of one row for each file: the first in ``order``, else the smallest pair."""
+    pair = F.struct("label", "split")
+    one = labels.groupBy("filename").agg((F.min(pair) if order is None else F.min_by(pair, order)).alias("r"))
+    return one.select("filename", label_code(F.col("r.label")).alias("y"), F.col("r.split").alias("split"))
+
+
 def attach_labels(docs: DataFrame, labels: DataFrame, default: int = 0, order: str | None = None) -> DataFrame:
     """Add ``y`` in {0, 1} by file name; files without a label get ``default``."""
     named = first_labels(labels, order).select("filename", label_code(F.col("label")).alias("_y"))
@@ -94,7 +101,7 @@ def attach_labels(docs: DataFrame, labels: DataFrame, default: int = 0, order: s
 def evaluation_rows(docs: DataFrame, labels: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents with a label, and the names of those that have none."""
     named = first_labels(labels, order).select(
-        "filename", F.when(F.col("label") == USEFUL, 1).otherwise(0).alias("actual")
+        "filename", label_code(F.col("label")).alias("actual")
     )
     return docs.join(named, "filename"), docs.select("filename").join(named, "filename", "left_anti")
 

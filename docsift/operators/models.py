@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import math
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
@@ -24,12 +25,21 @@ log = logging.getLogger(__name__)
 ROWS_PER_PARTITION = 50_000
 
 
-def pack(rows: DataFrame, n: int) -> DataFrame:
-    """Few partitions for few rows: every iteration of a fit is one job over them.
+@contextmanager
+def held_for_fitting(rows: DataFrame, n: int):
+    """The rows, computed once in as many tasks as they come in, then held in partitions of a fair size.
 
-    Large training sets have more rows per partition already and stay as they are.
+    Every iteration of a fit is one job over them, so small vectors in many
+    partitions cost more to schedule than to add up.
     """
-    return rows.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION)))
+    computed = rows.persist()
+    packed = computed.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION))).persist()
+    try:
+        computed.count()
+        yield packed
+    finally:
+        packed.unpersist()
+        computed.unpersist()
 
 
 def in_parallel(spark: SparkSession, jobs: list, threads: int) -> list:
@@ -74,16 +84,13 @@ class LogisticClassifier:
 
     def fit(self, rows: DataFrame, features: str = "features", y: str = "y") -> PipelineModel:
         n = rows.count()
-        weighted = pack(add_class_weights(rows, y), n).persist()
-        try:
+        with held_for_fitting(add_class_weights(rows, y), n) as weighted:
             # Spark averages the loss, so a penalty of 1/2 |w|^2 on the sum is 1/n here.
             estimator = LogisticRegression(
                 featuresCol=features, labelCol=y, weightCol="weight", family="binomial", regParam=1.0 / n,
                 elasticNetParam=0.0, standardization=False, maxIter=self.max_iter, tol=1e-6,
             )
             return PipelineModel([estimator.fit(weighted)])
-        finally:
-            weighted.unpersist()
 
 
 @dataclass
@@ -106,31 +113,31 @@ class SvmClassifier:
 
     seed: int = 42
     folds: int = 5
-    max_iter: int = 200
+    max_iter: int = 1000  # for every fit alike; one that meets it before its tolerance holds says so
+    tol: float = 1e-6
 
-    def _margins(self, rows: DataFrame, features: str, y: str, max_iter: int):
+    def _margins(self, rows: DataFrame, features: str, y: str):
         n = rows.count()
         estimator = LinearSVC(
             featuresCol=features, labelCol=y, weightCol="weight", regParam=1.0 / n, standardization=False,
-            maxIter=max_iter,
+            maxIter=self.max_iter, tol=self.tol,
         )
-        weighted = pack(add_class_weights(rows, y), n).persist()
-        try:
-            return estimator.fit(weighted)
-        finally:
-            weighted.unpersist()
+        with held_for_fitting(add_class_weights(rows, y), n) as weighted:
+            model = estimator.fit(weighted)
+        if model.summary().totalIterations >= self.max_iter:
+            log.warning("the SVM stopped at %d iterations before its tolerance was met", self.max_iter)
+        return model
 
     def fit(self, rows: DataFrame, features: str = "features", y: str = "y") -> PipelineModel:
         key = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(self.seed)), F.lit(self.folds))
         held = rows.withColumn("_fold", key).persist()
         slicer = VectorSlicer(inputCol="rawPrediction", outputCol="_margin", indices=[1])
         try:
-            # The model of all rows, and one per fold for margins on rows it has not
-            # seen. Those feed the sigmoid only, so half the iterations will do.
-            jobs = [lambda: self._margins(held, features, y, self.max_iter)]
+            # The model of all rows, and one per fold for margins on rows it has not seen.
+            jobs = [lambda: self._margins(held, features, y)]
             for fold in range(self.folds):
                 seen = held.filter(F.col("_fold") != fold)
-                jobs.append(lambda seen=seen: self._margins(seen, features, y, self.max_iter // 2))
+                jobs.append(lambda seen=seen: self._margins(seen, features, y))
             final, *fitted = in_parallel(rows.sparkSession, jobs, len(jobs))
             parts = []
             for fold, model in enumerate(fitted):

@@ -188,7 +188,7 @@ def extraction_cascade(spark, folder):
     """Turns as extractors of a conversation, tried in order."""
     turns = T.table(spark, folder, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.col("role").alias("extractor"), F.col("turn").alias("rank"),
-        F.when(F.col("turn") % 4 != 3, F.substring("text", 1, 55)).alias("text"),
+        F.when(F.col("turn") % 4 == 0, F.regexp_replace("text", "[a-z]", "")).when(F.col("turn") % 4 != 3, F.col("text")).alias("text"),
     )
     return pages.extraction_cascade(turns)
 
@@ -213,7 +213,7 @@ def cache_counts(spark, folder):
 
 def first_cached(spark, folder):
     """Three caches in priority order: pages, conversations, benchmark passages."""
-    turns = T.table(spark, folder, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), "text")
+    turns = pages.assemble_pages(_page_rows(spark, folder), block=4).select("doc_id", "text")
     passages = T.table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     docs = T.table(spark, folder, "documents")
     return cache.first_cached(docs, passages, turns, _text_cache(spark, folder))

@@ -59,7 +59,7 @@ SQL["decoded_texts"] = "SELECT doc_id, text FROM documents WHERE text <> ''"
 SQL["assemble_pages"] = r"""SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text
 FROM conversations WHERE turn % 3 <> 1 AND text <> '' GROUP BY conv_id"""
 SQL["extraction_cascade"] = f"""WITH c AS (
-  SELECT conv_id AS doc_id, role AS extractor, turn, CASE WHEN turn % 4 <> 3 THEN substring(text, 1, 55) END AS text FROM conversations),
+  SELECT conv_id AS doc_id, role AS extractor, turn, CASE WHEN turn % 4 = 0 THEN regexp_replace(text, '[a-z]', '', 'g') WHEN turn % 4 <> 3 THEN text END AS text FROM conversations),
 m AS (SELECT *, coalesce(length({stripped_sql('text')}), 0) >= 50 AS enough FROM c)
 SELECT doc_id, extractor, coalesce(text, '') AS text FROM m
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY enough DESC, CASE WHEN enough THEN turn ELSE -turn END) = 1"""
@@ -72,7 +72,7 @@ SELECT count(*) AS total, count(*) FILTER (cached) AS cached, count(*) FILTER (N
 SQL["first_cached"] = f"""WITH {TEXT_CACHE}
 SELECT d.doc_id, coalesce(b.text, c.text, o.text) AS text FROM documents d
 LEFT JOIN benchmark b ON d.doc_id = b.item_id
-LEFT JOIN conversations c ON d.doc_id = c.conv_id AND c.turn = 0 LEFT JOIN old o ON d.doc_id = o.doc_id"""
+LEFT JOIN ({SQL['assemble_pages']}) c ON d.doc_id = c.doc_id LEFT JOIN old o ON d.doc_id = o.doc_id"""
 SQL["cache_stats"] = """SELECT count(*) AS cached_files, round(sum(strlen(text)) / 1048576, 2) AS total_size_mb FROM documents"""
 SQL["merge_by_stem"] = """WITH u AS (
   SELECT doc_id, text, 1 AS priority FROM documents UNION ALL SELECT page_id, url, 2 FROM pages
@@ -263,7 +263,7 @@ SELECT strftime(ts, '%Y%m%d%H%M%S%f') || '_' || filename AS record_id, filename,
 FROM fed WHERE trim(filename) <> '' AND human_label IN ('useful', 'not_useful')"""
 SQL["feedback_rejects"] = f"""WITH {FEEDBACK}
 SELECT filename, predicted_label, human_label, ts AS "at",
-  CASE WHEN trim(filename) = '' THEN 'Filename cannot be empty' ELSE 'Human label must be one of not_useful, useful' END AS reject_reason
+  CASE WHEN trim(filename) = '' THEN 'no file name' ELSE 'the human label is none of not_useful, useful' END AS reject_reason
 FROM fed WHERE trim(filename) = '' OR human_label NOT IN ('useful', 'not_useful')"""
 
 DIRS = """dirs AS (

@@ -24,7 +24,8 @@ def score_documents(pipeline: PipelineModel, docs: DataFrame, skip_blank: bool =
     keep = docs.columns
     cleaned = clean_documents(docs).select(*keep, "clean")
     if skip_blank:
-        cleaned = cleaned.filter("clean != ''")
+        # As a generator: a filter on a computed column would be pushed below it and clean every text twice.
+        cleaned = cleaned.select(*keep, F.explode(F.when(F.col("clean") != "", F.array("clean"))).alias("clean"))
     # The first stage cleans the text; it is done already.
     return models.score(PipelineModel(pipeline.stages[1:]), cleaned).select(*keep, "prediction", "score")
 

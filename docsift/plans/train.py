@@ -59,7 +59,7 @@ def train_job(
     ``output`` the texts, reports, predictions and the fitted pipeline are saved
     below that folder.
     """
-    rows = L.attach_labels(docs, labels).join(labels.groupBy("filename").agg(F.min("split").alias("split")), "filename")
+    rows = docs.join(L.first_rows(labels, "line" if "line" in labels.columns else None), "filename")
     before = L.class_balance(rows.filter("split = 'train'"))
     if config.ratio_pre_filter:
         ratio = L.require_both_classes(before).ratio

@@ -6,13 +6,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.records import in_utc
 from ..functions.scoring import accuracy_text
 
 REGISTRY = "name string, file_type string, model_type string, suffix string, accuracy double, path string, created_at timestamp"
 
 
 def artifact_suffix(created_at: Column, accuracy: Column) -> Column:
-    return F.concat_ws("_", F.date_format(created_at, "yyyyMMdd_HHmmss"), accuracy_text(accuracy))
+    return F.concat_ws("_", F.date_format(in_utc(created_at), "yyyyMMdd_HHmmss"), accuracy_text(accuracy))
 
 
 def classifier_name(file_type: Column, model_type: Column, suffix: Column) -> Column:

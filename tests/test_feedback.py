@@ -28,8 +28,8 @@ def test_rejects(spark):
     accepted, rejected = FB.feedback_records(rows)
     assert accepted.count() == 0
     reasons = [r.reject_reason for r in rejected.collect()]
-    assert reasons == ["Filename cannot be empty"] * 2 + ["Predicted label must be one of not_useful, useful", "Human label must be one of not_useful, useful"]
-    with pytest.raises(Exception, match="Filename cannot be empty"):
+    assert reasons == ["no file name"] * 2 + ["the predicted label is none of not_useful, useful", "the human label is none of not_useful, useful"]
+    with pytest.raises(Exception, match="no file name"):
         FB.feedback_records(rows.filter("filename = ''"), strict=True)[0].collect()
 
 
@@ -68,7 +68,7 @@ def test_locate_prefers_training_folders(spark):
 def test_file_types(spark):
     rows = corrections(spark, ("a", "useful", "2026-01-01 10:00:00")).withColumn("file_type", F.lit("doc"))
     valid, rejected = FB.valid_corrections(rows)
-    assert valid.count() == 0 and rejected.first().reject_reason == "file type must be one of txt, pdf"
+    assert valid.count() == 0 and rejected.first().reject_reason == "the file type is none of txt, pdf"
 
 
 def test_routes(spark, tmp_path):
