@@ -156,6 +156,11 @@ def anti(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(gone.select(key), key, "left_anti")
 
 
+#: Files of an intermediate table for each core of the cluster, at most. Many shuffle partitions of a few rows each cost
+#: more to write than to compute.
+FILES_PER_CORE = 6
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, so that a lost executor costs no more than a reread."""
-    return materialize(df, f"llm-{name}")
+    return materialize(df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism), f"llm-{name}")
