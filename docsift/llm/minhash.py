@@ -4,13 +4,14 @@
    minima under many universal hash functions become its signature.
 2. Texts with equal sets are one node, whatever their number; its document is the
    smallest. Everything below works on nodes.
-3. Bands of the signature put nodes into buckets. A node of which too few shingles
-   occur in any other node of the buckets cannot have a link and leaves them (a shingle
-   that is nobody else's counts for the union only). In a bucket, not all pairs are
+3. Bands of the signature put nodes into buckets. For each node it is counted how many
+   of its shingles occur in any other node there: the intersection with another node is
+   no larger, which rules out most pairs of copies that have been edited more than a link
+   allows before they are formed. In a bucket, not all pairs are
    compared: a pivot is compared with all others. The first pivot is the node that
    shares most buckets with others, which is the original among its edited copies.
    A bucket whose nodes are connected is done. In the others the compared pivots are
-   taken out and four times as many are drawn, until no bucket holds two
+   taken out and ``DRAW`` times as many are drawn, until no bucket holds two
    components. So each pair in a bucket is either compared or known to be connected.
 4. A pair is first judged by its signatures, with a margin beyond which no link is
    lost in practice (5.5 standard errors), then by the two full sets.
@@ -32,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Phrases, Words, arrow_map, mix, signed, slices, stored, with_bytes
+from .common import Phrases, Words, anti, arrow_map, mix, signed, slices, stored, with_bytes
 from .components import components
 
 SHINGLE = 5
 BANDS = 32
 MISS = 1e-7
+DRAW = 256
 #: Ids of documents that are compared go to all executors if there are no more than these (16 MB); else they are joined.
 BROADCAST_IDS = 2_000_000
 
@@ -152,11 +154,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """``node, size`` of the sets of which ``percent`` or more also occurs in others, as a link takes."""
+    """``node, size, shared`` of the sets of which ``percent`` or more (``shared``) also occurs in others, as a link takes."""
     shingles = sets.select("node", F.size("set").alias("size"), F.explode("set").alias("shingle"))
     common = stored(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "common")
-    shared = shingles.join(common, "shingle", "left_semi").groupBy("node", "size").agg(F.count("*").alias("n"))
-    return shared.where(F.col("n") * 100 >= F.col("size") * percent).select("node", "size")
+    shared = shingles.join(common, "shingle", "left_semi").groupBy("node", "size").agg(F.count("*").alias("shared"))
+    return shared.where(F.col("shared") * 100 >= F.col("size") * percent)
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int, size: int = SHINGLE) -> DataFrame:
@@ -169,19 +171,21 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int
     marks = stored(nodes.join(ids.select("node"), "node", "left_semi").select("node", "signature"), "marks")
     able = stored(linkable(sets, percent), "linkable")
     open_ = stored(members.select("node", "key").join(ids.join(able, "node"), "node"), "open")
+    # |a and b| is at most what either shares with anyone, and a link takes (100 + percent) |a and b| >= percent (|a| + |b|)
+    may_link = F.least("shared", "its_shared") * (100 + percent) >= (F.col("size") + F.col("its_size")) * percent
     found, tried, labels, draw = None, None, None, 0
     while True:
         if draw == 0:
             chief = F.max_by("node", F.struct(F.col("meets"), -F.col("node")))
-            pivots = open_.groupBy("key").agg(chief.alias("pivot")).join(able.toDF("pivot", "its_size"), "pivot")
-        else:  # about 4 ** draw of each bucket, all of a bucket that has no more
+            pivots = open_.groupBy("key").agg(chief.alias("pivot")).join(able.toDF("pivot", "its_size", "its_shared"), "pivot")
+        else:  # about DRAW ** draw of each bucket, all of a bucket that has no more
             spread = F.pmod(F.xxhash64("node", F.lit(draw)), F.col("n"))
-            pivots = open_.where(spread < 4**draw).select(
-                "key", F.col("node").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("its_size")
+            pivots = open_.where(spread < DRAW**draw).select(
+                "key", F.col("node").alias("pivot"), F.col("component").alias("own"),
+                F.col("size").alias("its_size"), F.col("shared").alias("its_shared"),
             )
         pivots = stored(pivots, "pivots")
-        alike = F.least("size", "its_size") * 100 >= F.greatest("size", "its_size") * percent
-        pairs = open_.join(pivots, "key").where((F.col("node") != F.col("pivot")) & alike)
+        pairs = open_.join(pivots, "key").where((F.col("node") != F.col("pivot")) & may_link)
         if draw:
             pairs = pairs.where("component != own")
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
@@ -219,3 +223,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, size
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one with the smallest doc_id; of repeated rows one."""
+    verdicts = stored(near_duplicates(docs, percent, bands, size), "verdicts")
+    out = anti(docs, verdicts.where("not kept").select("doc_id").distinct())
+    repeated = verdicts.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return out
+    once = out.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(out.where("doc_id is null"))
