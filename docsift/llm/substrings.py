@@ -16,9 +16,11 @@ same anchor:
    its references in the order of their ids; before a document's references are
    added, they are streamed through it, and where the matching statistic reaches
    ``WINDOW`` the window is in a smaller document. Shards hold about ``SHARD_WORDS`` words.
-3. An anchor with more than ``HOT`` references (a passage that very many documents
-   share, in ever different surroundings) is not put into one shard. Its windows are
-   dealt out singly by their hash, with a merging aggregate for the smallest id.
+3. An anchor with more than ``HOT`` references (a line that very many documents
+   share, in ever different surroundings) is not put into one shard. Its references are
+   cut again, by the second smallest run of each window, and step 1 and 2 are done for
+   the pairs of runs. What is hot even then is dealt out window by window, by a hash,
+   with a merging aggregate for the smallest id.
 4. Spans return to the documents, which are cut where they lie.
 
 Sending every automaton to every task instead would stream all documents through all
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Phrases, Words, arrow_map, signed, slices, stored, with_bytes
+from .common import Phrases, Words, arrow_map, mix, signed, slices, stored, with_bytes
 
 WINDOW = 50
 RUN = 8
@@ -47,7 +49,7 @@ SHARD_WORDS = 150_000
 LEAST_SHARDS = 64
 HOT = 500
 #: Tables of contexts or spans by document go to all executors up to this many entries (about 50 MB); else they are joined.
-BROADCAST_ENTRIES = 1_000_000
+BROADCAST_ENTRIES = 2_000_000
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -226,6 +228,72 @@ def _with_words(docs: DataFrame, references: DataFrame, window: int, shards: int
     return arrow_map(joined, work, "shard long, first_id long, anchor long, content long, words binary")
 
 
+def _spans_of(references: DataFrame, window: int, cut_again: bool = True) -> DataFrame:
+    """``anchor, content, spans`` of references (``shard, first_id, anchor, content, words``) with windows in a smaller document."""
+    counts = stored(references.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    usual, hot = (counts.where(c).select("anchor") for c in (F.col("n") <= HOT, F.col("n") > HOT))
+    spans = _in_shards(references.join(usual, "anchor", "left_semi"), window)
+    if hot.isEmpty():
+        return spans
+    rest = references.join(hot, "anchor", "left_semi")
+    return spans.union(_by_pairs(rest, window) if cut_again else _singly(rest, window))
+
+
+def _by_pairs(references: DataFrame, window: int) -> DataFrame:
+    """The same as ``_in_shards`` for references of hot anchors, which are cut by the second smallest run of their windows."""
+    run = min(RUN, window)
+
+    def cut(batch: pa.RecordBatch) -> Iterable[dict]:
+        out = {k: [] for k in ("first_id", "anchor", "content", "start", "windows", "key", "part", "words")}
+        ids, anchors, contents, raws = (batch.column(c).to_pylist() for c in ("first_id", "anchor", "content", "words"))
+        for first_id, anchor, content, raw in zip(ids, anchors, contents, raws):
+            code = np.frombuffer(raw, np.uint64)
+            phrases, starts = Phrases(code), np.arange(len(code) - run + 1)
+            grams = phrases.of(starts, starts + run)
+            smallest = int(grams[: window - run + 1].argmin())  # in the first window, and so in all
+            others = grams.copy()
+            others[smallest] = np.uint64(2**64 - 1)
+            second = sliding_argmin(others, window - run + 1)
+            at = np.flatnonzero(np.concatenate([[True], second[1:] != second[:-1]]))
+            count = np.diff(np.append(at, len(second)))
+            apart = (second[at] - smallest + (1 << 20)).astype(np.uint64)
+            key = mix(mix(grams[second[at]] + apart * np.uint64(0x9E3779B97F4A7C15)) ^ grams[smallest])
+            part = phrases.of(at, at + count + window - 1)
+            out["first_id"] += [first_id] * len(at)
+            out["anchor"] += [anchor] * len(at)
+            out["content"] += [content] * len(at)
+            out["start"] += at.tolist()
+            out["windows"] += count.tolist()
+            out["key"] += signed(key).tolist()
+            out["part"] += signed(part).tolist()
+            out["words"] += [code[a : a + n + window - 1].tobytes() for a, n in zip(at.tolist(), count.tolist())]
+        yield out
+
+    schema = "first_id long, anchor long, content long, start int, windows int, key long, part long, words binary"
+    parts = stored(arrow_map(references.select("first_id", "anchor", "content", "words"), cut, schema), "parts")
+    by = parts.groupBy("key", "part").agg(F.min("first_id").alias("earliest"), F.max("first_id").alias("latest"))
+    by = stored(by, "pairs")
+    keys = by.groupBy("key").agg(F.min("earliest").alias("lo"), F.max("latest").alias("hi"), F.count("*").alias("n"))
+    shared = stored(by.join(stored(keys.where("lo < hi").select("key", "n"), "keys"), "key"), "shared")
+    firsts = parts.join(shared.where("n > 1").select("key", "part", "earliest"), ["key", "part"]).where("first_id = earliest")
+    firsts = firsts.dropDuplicates(["key", "part"]).select(
+        F.pmod("key", F.lit(LEAST_SHARDS)).alias("shard"), "first_id", F.col("key").alias("anchor"), F.col("part").alias("content"), "words"
+    )
+    spans = stored(_spans_of(stored(firsts, "references"), window, cut_again=False), "spans").toDF("key", "part", "spans")
+    known = stored(shared.join(spans, ["key", "part"], "left").where("latest > earliest or spans is not null"), "known")
+    joined = parts.drop("words").join(known, ["key", "part"]).where("first_id > earliest or spans is not null")
+    return joined.select("anchor", "content", _moved("first_id", "earliest", window).alias("own")).groupBy("anchor", "content").agg(
+        F.flatten(F.collect_list("own")).alias("spans")
+    )
+
+
+def _moved(doc: str, first: str, window: int):
+    """Spans of an occurrence: all of it after the first document, else what its reference found; from the document's start."""
+    whole = F.array(F.struct(F.lit(0).alias("begin"), (F.col("windows") + (window - 1)).alias("stop")))
+    own = F.when(F.col(doc) > F.col(first), whole).otherwise(F.col("spans"))
+    return F.transform(own, lambda s: F.struct((s["begin"] + F.col("start")).alias("begin"), (s["stop"] + F.col("start")).alias("stop")))
+
+
 def _singly(references: DataFrame, window: int) -> DataFrame:
     """The same as ``_in_shards`` for references of hot anchors, window by window."""
 
@@ -266,20 +334,30 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = by.where("n > 1").agg(F.sum(F.col("windows") + (window - 1)).alias("words")).first()["words"] or 0
     shards = max(LEAST_SHARDS, -(-size // SHARD_WORDS))
     references = stored(_with_words(docs, by.where("n > 1"), window, shards), "references")
-    hot = shared.where(F.col("n") > HOT).select("anchor")
-    usual = shared.where(F.col("n").between(2, HOT)).select("anchor")
-    spans = _in_shards(references.join(usual, "anchor", "left_semi"), window)
-    if not hot.isEmpty():
-        spans = spans.union(_singly(references.join(hot, "anchor", "left_semi"), window))
-    spans = stored(spans, "spans")
+    spans = stored(_spans_of(references, window), "spans")
     known = by.select("anchor", "content", "first_id", "last_id").join(spans, ["anchor", "content"], "left")
     known = stored(known.where("last_id > first_id or spans is not null"), "known")
     joined = found.join(known, ["anchor", "content"])
-    whole = F.array(F.struct(F.lit(0).alias("begin"), (F.col("windows") + (window - 1)).alias("stop")))
-    own = F.when(F.col("doc_id") > F.col("first_id"), whole).otherwise(F.col("spans"))
-    moved = F.transform(own, lambda s: F.struct((s["begin"] + F.col("start")).alias("begin"), (s["stop"] + F.col("start")).alias("stop")))
-    rows = joined.where("doc_id > first_id or spans is not null").select("doc_id", moved.alias("own"))
-    return stored(rows.groupBy("doc_id").agg(F.flatten(F.collect_list("own")).alias("spans")), "ranges")
+    rows = joined.where("doc_id > first_id or spans is not null").select("doc_id", _moved("doc_id", "first_id", window).alias("own"))
+    return stored(_merged(rows.groupBy("doc_id").agg(F.flatten(F.collect_list("own")).alias("spans"))), "ranges")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans of a document as few, disjoint and in order."""
+
+    def work(batch: pa.RecordBatch) -> Iterable[dict]:
+        out = []
+        for own in batch.column("spans").to_pylist():
+            merged: list[dict] = []
+            for s in sorted(own, key=lambda s: s["begin"]):
+                if merged and s["begin"] <= merged[-1]["stop"]:
+                    merged[-1]["stop"] = max(merged[-1]["stop"], s["stop"])
+                else:
+                    merged.append(s)
+            out.append(merged)
+        yield {"doc_id": batch.column("doc_id"), "spans": out}
+
+    return arrow_map(spans, work, "doc_id long, spans array<struct<begin:int,stop:int>>")
 
 
 def _marked(docs: DataFrame, spans: DataFrame, *columns: str, text: str = "text") -> DataFrame:
