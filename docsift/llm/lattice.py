@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, mix, powers, slices, with_bytes
 
 ALPHA = 1.0
-SLICE = 8 << 20
+SLICE = 2 << 20
 _MARK = 0x2581
 _LITERAL_MARK = 0x110000  # a mark that stands in the text
 _BASE = np.uint64(0x9E3779B97F4A7C13)
