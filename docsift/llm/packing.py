@@ -14,7 +14,7 @@ makes a plan:
 
 The plan says of runs of equally long pieces to which runs of sequences they go, so
 its size depends on the capacity and not on the corpus. Pieces are then numbered
-within their length (counts per task and length, added up) and look up their place.
+within their length (counts per partition and length, added up) and look up their place.
 Nothing else than counts leaves the executors, and no length is dealt to one task.
 
 A null or empty text is a document of its end id alone. Every row is packed, also
@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,18 +46,20 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Documents as pieces of at most ``capacity`` tokens.
 
-    ``part`` and ``place`` number the pieces of each length within a task.
+    ``part`` and ``place`` number the pieces of each length within a partition of
+    ``docs``. Where the caller coalesces the result, one task runs through several of
+    these, so ``part`` is a column from below and not the task's number.
     ``keep_ids`` adds the ids, little-endian unsigned 32-bit.
     """
     end = np.array([end_id], "<u4").tobytes()
     schema = _PIECES + (", ids binary" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = word_encoder(path), TaskContext.get().partitionId()
+        encoder = word_encoder(path)
         seen = [0] * (capacity + 1)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids = encoder.encode(text or "") + end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
@@ -72,7 +73,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
                 names=[c.split()[0] for c in schema.split(", ")],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, schema)
 
 
 def configurations(sizes: np.ndarray, wanted: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:

@@ -102,6 +102,23 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_of_more_partitions_than_files(spark):
+    many = 6 * spark.sparkContext.defaultParallelism + 150
+    docs = spark.range(4 * many, numPartitions=many).selectExpr("id as doc_id", "repeat('stone ', cast(id % 5 as int)) as text")
+    got = packing.pack_documents(docs, capacity=64).collect()
+    assert len(got) == 4 * many and sum(r["length"] for r in got) > 4 * many
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert sorted(sequences) == list(range(len(sequences)))
+
+
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(2)
     for n in (0, 1, 255, 600, 3000):
