@@ -172,6 +172,19 @@ def test_base_spans_equal_the_patterns(spark):
         assert [got[i][f"n_{k}"] for k in PATTERNS] == [sum(s.startswith(k) for s in want) for k in PATTERNS]
 
 
+def test_texts_of_separated_digits_are_tried(spark):
+    one = "4111111111111111"
+    texts = ["-".join(one), "see " + " ".join(one) + " there", "10 . 0 . 0 . 1", "fe80:::1:2", "a:::", "5 0 9 5 5 5 6 9 7 3", "--".join(one), ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pii_report(frame, pii.Model()).collect()}
+    assert [got[i]["spans"] for i in range(len(texts))] == [",".join(base_spans(t)) for t in texts]
+    assert got[0]["n_card"] == got[1]["n_card"] == 1
+    assert [r["text"] for r in pii.redacted(frame, pii.Model()).orderBy("doc_id").collect()][:2] == ["<CARD>", "see <CARD> there"]
+    proposed = pii.with_proposals(pii.with_base(frame)).select("doc_id", F.expr("transform(_proposed, s -> s.kind)").alias("kinds"))
+    kinds = {r["doc_id"]: set(r["kinds"]) for r in proposed.collect()}
+    assert 1 in kinds[2] and 1 in kinds[3] and 1 in kinds[4] and 3 in kinds[5] and 2 in kinds[6] and not kinds[7]
+
+
 def test_trees_add_respelt_data_and_keep_base(spark):
     rng = np.random.default_rng(8)
     texts = []
