@@ -239,6 +239,12 @@ def _spans_of(references: DataFrame, window: int, cut_again: bool = True) -> Dat
     return spans.union(_by_pairs(rest, window) if cut_again else _singly(rest, window))
 
 
+def _shards(references: DataFrame, window: int) -> int:
+    """The number of shards for the references (``windows, n``) whose anchor has others: ``SHARD_WORDS`` words each."""
+    size = references.where("n > 1").agg(F.sum(F.col("windows") + (window - 1)).alias("words")).first()["words"] or 0
+    return max(LEAST_SHARDS, -(-size // SHARD_WORDS))
+
+
 def _by_pairs(references: DataFrame, window: int) -> DataFrame:
     """The same as ``_in_shards`` for references of hot anchors, which are cut by the second smallest run of their windows."""
     run = min(RUN, window)
@@ -271,13 +277,15 @@ def _by_pairs(references: DataFrame, window: int) -> DataFrame:
 
     schema = "first_id long, anchor long, content long, start int, windows int, key long, part long, words binary"
     parts = stored(arrow_map(references.select("first_id", "anchor", "content", "words"), cut, schema), "parts")
-    by = parts.groupBy("key", "part").agg(F.min("first_id").alias("earliest"), F.max("first_id").alias("latest"))
+    by = parts.groupBy("key", "part").agg(F.min("first_id").alias("earliest"), F.max("first_id").alias("latest"), F.first("windows").alias("windows"))
     by = stored(by, "pairs")
     keys = by.groupBy("key").agg(F.min("earliest").alias("lo"), F.max("latest").alias("hi"), F.count("*").alias("n"))
     shared = stored(by.join(stored(keys.where("lo < hi").select("key", "n"), "keys"), "key"), "shared")
+    shards = _shards(shared, window)
+    shared = shared.drop("windows")
     firsts = parts.join(shared.where("n > 1").select("key", "part", "earliest"), ["key", "part"]).where("first_id = earliest")
     firsts = firsts.dropDuplicates(["key", "part"]).select(
-        F.pmod("key", F.lit(LEAST_SHARDS)).alias("shard"), "first_id", F.col("key").alias("anchor"), F.col("part").alias("content"), "words"
+        F.pmod("key", F.lit(shards)).alias("shard"), "first_id", F.col("key").alias("anchor"), F.col("part").alias("content"), "words"
     )
     spans = stored(_spans_of(stored(firsts, "references"), window, cut_again=False), "spans").toDF("key", "part", "spans")
     known = stored(shared.join(spans, ["key", "part"], "left").where("latest > earliest or spans is not null"), "known")
@@ -331,8 +339,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = by.groupBy("anchor").agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi"), F.count("*").alias("n"))
     shared = stored(shared.where("lo < hi").select("anchor", "n"), "anchors")
     by = stored(by.join(shared, "anchor"), "shared")
-    size = by.where("n > 1").agg(F.sum(F.col("windows") + (window - 1)).alias("words")).first()["words"] or 0
-    shards = max(LEAST_SHARDS, -(-size // SHARD_WORDS))
+    shards = _shards(by, window)
     references = stored(_with_words(docs, by.where("n > 1"), window, shards), "references")
     spans = stored(_spans_of(references, window), "spans")
     known = by.select("anchor", "content", "first_id", "last_id").join(spans, ["anchor", "content"], "left")

@@ -110,6 +110,30 @@ def test_substrings(docs, rows, window, hot, monkeypatch):
         assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(found), sum(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_shards_of_pairs_grow_with_their_words(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 60)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 50)
+    rng = np.random.default_rng(12)
+    line = " ".join(f"line{i}" for i in range(12))
+    other = lambda: " ".join(f"w{x}" for x in rng.integers(0, 30, 18))
+    ends = [other() for _ in range(40)]
+    rows = [(i, f"{ends[rng.integers(40)]} {line} {ends[rng.integers(40)]}") for i in range(400)]
+    seen, in_shards = [], substrings._in_shards
+
+    def watched(references, window):
+        total = references.selectExpr("sum(length(words)) / 8 as words", "max(shard) as last", "count(distinct shard, anchor) as n", "count(distinct anchor) as anchors")
+        seen.append(total.first())
+        return in_shards(references, window)
+
+    monkeypatch.setattr(substrings, "_in_shards", watched)
+    want = removed(rows, 20)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.dedup_report(frame, 20).collect()} == {i: sum(g) for i, (_, g) in want.items()}
+    pairs = seen[-1]
+    assert len(seen) == 2 and pairs["words"] > 50 * 100 and pairs["anchors"] > 20 and pairs["n"] == pairs["anchors"]
+    assert pairs["last"] >= substrings.LEAST_SHARDS
+
+
 def test_cut_texts_keep_other_columns(docs, rows, empty):
     cut = substrings.without_repeats(docs)
     assert cut.schema == docs.schema
