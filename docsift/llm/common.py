@@ -161,6 +161,11 @@ def anti(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
 FILES_PER_CORE = 6
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, so that a lost executor costs no more than a reread."""
-    return materialize(df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism), f"llm-{name}")
+def stored(df: DataFrame, name: str, coalesce: bool = True) -> DataFrame:
+    """``df`` as a table in the shared folder, so that a lost executor costs no more than a reread.
+
+    Without ``coalesce`` it has a file for each partition: for heavy rows, and for work that should not wait for few tasks.
+    """
+    if coalesce:
+        df = df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    return materialize(df, f"llm-{name}")

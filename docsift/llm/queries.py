@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, minhash, packing, pii, prefix_counts, quality, substrings, token_files, topk, urls
+from . import alignment, bpe_stream, hard_negatives, lattice, minhash, packing, pii, prefix_counts, quality, substrings, token_files, topk, urls
 from .common import table
 from .tokens import tokenizer_path
 
@@ -68,6 +68,52 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.through_files(table(spark, folder, "documents"))
 
 
+@query("op11_cross_tokenizer_alignment")
+def _aligned(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op12_bpe_round_trip")
+def _round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_stream.round_trip(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op13_hard_negatives")
+def _negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+_SOUND = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
+_WHOLE = "list_transform(embedding, x -> floor({} * x::DOUBLE)::BIGINT)"
+_INNER = "list_sum(list_transform(list_zip(a.v, b.v), p -> p[1] * p[2]))::BIGINT"
+
+SQL["op5_exact_topk"] = f"""
+WITH rows AS (SELECT vec_id, {_WHOLE.format(64)} AS v FROM embeddings WHERE {_SOUND}),
+scores AS (
+    SELECT a.vec_id AS query_id, b.vec_id AS vec_id, {_INNER} AS score
+    FROM rows a JOIN rows b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+SQL["op13_hard_negatives"] = f"""
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE.format(256)} AS v
+    FROM embeddings WHERE label IS NOT NULL AND {_SOUND}),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, {_INNER} AS score
+    FROM rows a JOIN rows b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM scores WHERE same),
+ranked AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+    FROM positives p JOIN scores n ON p.anchor_id = n.anchor_id AND NOT n.same
+    WHERE p.place <= 5 AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
 URL_RULES = (
     urls.UrlRule("net", "/", "block"),
     urls.UrlRule("example.net", "/en/", "allow"),

@@ -7,15 +7,44 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Words that a worker keeps; beyond that it starts anew. About 200 MB.
-KEPT_WORDS = 800_000
-#: Longer words are encoded and not kept.
-KEPT_LENGTH = 64
+#: Bytes of words and their results that one cache of a worker keeps in each of its two generations.
+KEPT_BYTES = 24 << 20
+#: A single result above this is not kept.
+KEPT_ENTRY = 1024
+
+
+class Kept(dict):
+    """What ``make`` returns for a key, remembered within a fixed number of bytes.
+
+    There are two generations: once the younger one is full it becomes the older one, whose keys come
+    back when they are asked for again. So frequent keys stay.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], limit: int = KEPT_BYTES):
+        super().__init__()
+        self.make, self.limit, self.size, self.older = make, limit, 0, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value: bytes) -> None:
+        cost = 200 + len(value) + 2 * len(key)
+        if cost <= KEPT_ENTRY:
+            self.size += cost
+            if self.size > self.limit:
+                self.older, self.size = dict(self), cost
+                self.clear()
+            self[key] = value
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,8 +92,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Kept(self._word), Kept(self._piece)
         letters = byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(33, 256)}
 
@@ -72,33 +100,18 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids."""
         if self.ODD.search(text):
             return self._whole(text)
-        words, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known.get(w) or self._word(w) for w in words])
+        return b"".join(map(self.words.__getitem__, text.split()))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if len(word) > KEPT_LENGTH:
-            return self._whole(word)
-        if self.PLAIN.fullmatch(word) and "<|" not in word:
-            found = b"".join([self.pieces.get(p) or self._piece(p) for p in self.PATTERN.findall(word.lower())])
-        else:
-            found = self._whole(word)
-        if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
-        self.words[word] = found
-        return found
+        if self.PLAIN.fullmatch(word) and "<|" not in word and len(word) < KEPT_ENTRY:
+            return b"".join(map(self.pieces.__getitem__, self.PATTERN.findall(word.lower())))
+        return self._whole(word)
 
     def _piece(self, piece: str) -> bytes:
-        found = np.array([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.letters))], "<u4").tobytes()
-        if len(self.pieces) >= KEPT_WORDS // 4:
-            self.pieces.clear()
-        self.pieces[piece] = found
-        return found
+        return np.array([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.letters))], "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -239,32 +239,6 @@ def test_pii_edge_cases(docs, rows, empty):
     assert pii.pii_report(empty).count() == 0 and pii.redacted(empty).count() == 0
 
 
-def test_top_k(spark):
-    rng = np.random.default_rng(9)
-    vectors = [(i, rng.normal(0, 0.2, 24).round(3).tolist()) for i in range(700)]
-    vectors += [(1000 + i, vectors[5][1]) for i in range(60)] + [(1100, None), (1120, [None] * 24), (1140, [float("nan")] * 24), (None, [0.0] * 24)]
-    vectors += [(1160, [1.0] * 3), (1161, [2.0] * 3), (1180, []), (1181, []), (1200, [1e300] * 24), (40, vectors[40][1])]
-    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
-    got = topk.top_k(frame, F.col("vec_id") % 20 == 0, k=20, wave_size=30)
-    sound = [(i, np.floor(64 * np.array(v)).astype(np.int64)) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all() and max(v, default=0) < 1e15]
-    want = []
-    for q, own in {i: v for i, v in sound if i % 20 == 0}.items():
-        best = sorted((-int(v @ own), i) for i, v in sound if i != q and len(v) == len(own))[:20]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
-    assert topk.top_k(frame.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
-
-
-def test_large_components_are_exact(spark):
-    vectors = [(i, [float(2**40 + i), 1.0, -float(i)]) for i in range(50)]
-    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    whole = {i: [int(64 * x) for x in v] for i, v in vectors}
-    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
-    best = sorted((-wrap(sum(a * b for a, b in zip(whole[0], whole[i]))), i) for i in range(1, 50))[:3]
-    got = [(-r["score"], r["vec_id"]) for r in topk.top_k(frame, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
-    assert got == best
-
-
 def test_url_rules_and_reputation(spark):
     pages = [(1, "HTTP://A.Example.NET/en/x?q#f"), (2, "https://b.example.net/de"), (3, "http://x.example.com/de/1"), (4, "http://good.example.com"), (5, None), (6, "no scheme"), (7, "http://bad.example.com/#a"), (8, "http://new.other.co.uk/p?x://y"), (8, "http://new.other.co.uk/p?x://y"), (9, "://")]
     frame = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, host int")
