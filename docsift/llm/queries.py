@@ -84,9 +84,9 @@ def _negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
-_SOUND = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0"
-_WHOLE = "list_transform(embedding, x -> floor({} * x::DOUBLE)::BIGINT)"
-_INNER = "list_sum(list_transform(list_zip(a.v, b.v), p -> p[1] * p[2]))::BIGINT"
+_SOUND = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+_WHOLE = "[floor({} * x::DOUBLE)::BIGINT FOR x IN embedding]"
+_INNER = "list_sum([p[1] * p[2] FOR p IN list_zip(a.v, b.v)])::BIGINT"
 
 SQL["op5_exact_topk"] = f"""
 WITH rows AS (SELECT vec_id, {_WHOLE.format(64)} AS v FROM embeddings WHERE {_SOUND}),
