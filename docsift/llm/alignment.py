@@ -28,7 +28,7 @@ from .bpe_stream import Encoder, packed
 from .common import SLICE_BYTES, arrow_map, slices, stored, with_bytes
 from .tokens import Kept
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Linked id pairs of a slice that are expanded at a time.
 EXPAND = 1 << 21
 _DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
