@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -31,11 +32,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import arrow_map
-from .tokens import byte_letters, load_tokenizer
+from .tokens import Kept, byte_letters, load_tokenizer
 
-#: Chunks and pre-tokens that a worker keeps; beyond that it starts anew.
-KEPT = 500_000
-KEPT_LENGTH = 64
+#: Pairs of tokens whose compatibility a worker keeps; beyond that it starts anew.
+KEPT_PAIRS = 500_000
+#: Bytes of chunks and of pre-tokens that a worker keeps, in each of two generations.
+KEPT_CHUNKS, KEPT_PRE_TOKENS = 64 << 20, 32 << 20
 
 
 class PrefixCounter:
@@ -48,6 +50,7 @@ class PrefixCounter:
     )
     #: A space before anything but white space begins a pre-token, whatever stands around it.
     CHUNK = re.compile(f"(?= [^{SPACE}])")
+    WIDE = re.compile(f" [{SPACE}]")
     #: Its last character belongs to the word after it, or stands alone.
     RUN = re.compile(f"[{SPACE}]{{2,}}(?=[^{SPACE}])")
     #: Cut by one character they are two pre-tokens.
@@ -73,8 +76,9 @@ class PrefixCounter:
         self.tokenizer = load_tokenizer(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pre_tokens: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.alone: dict[int, bool] = {}
+        self.pre_tokens = Kept(self._pre_token, KEPT_PRE_TOKENS)
+        self.chunks = Kept(self._chunk, KEPT_CHUNKS)
 
     def stays_pair(self, left: int, right: int) -> bool:
         """Whether the encoder leaves these two tokens side by side.
@@ -82,103 +86,70 @@ class PrefixCounter:
         Undoes the merges of both, the latest first. If at some time a merge across
         the seam would have come earlier than the one undone, it would have been made.
         """
-        key = left, right
-        found = self.pairs.get(key)
-        if found is not None:
-            return found
-        before = len(self.merge)
-        ok = True
-        while True:
-            across = self.merge.get((left, right))
-            if across is not None and across[0] < before:
-                ok = False
-                break
-            a, b = self.rank[left], self.rank[right]
-            if a < 0 and b < 0:
-                break
-            # the left one's merge counts as earlier than an equal one on its right
-            if a > b:
-                before, left = a, self.parts[left][1]
-            else:
-                before, right = b + 1, self.parts[right][0]
-        if len(self.pairs) >= 4 * KEPT:
+        ok = self.stays_pair_under(left, right, len(self.merge))
+        if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
-        self.pairs[key] = ok
+        self.pairs[left, right] = ok
         return ok
 
     def prefix(self, text: bytes) -> list[int]:
         """Tokens of each prefix of a pre-token, by its length in bytes, from 0."""
-        token, longest, pairs = self.token, self.longest, self.pairs
+        get, longest, pairs, alone = self.token.get, self.longest, self.pairs, self.alone
         count, last = [0], [-1]
         for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                own = token.get(text[start:end])
-                if own is None:
-                    continue
-                before = last[start]
-                if before < 0 and start:
-                    continue
-                if start == 0:
-                    if self.whole(own):
+            at = 0
+            if end <= longest:  # one token for all
+                own = get(text[:end])
+                if own is not None:
+                    good = alone.get(own)
+                    if good or good is None and self.whole(own):
+                        count.append(1)
+                        last.append(own)
+                        continue
+                at = 1
+            for start in range(at or end - longest, end):
+                own = get(text[start:end])
+                if own is not None:
+                    good = pairs.get((last[start], own))
+                    if good or good is None and self.stays_pair(last[start], own):
+                        count.append(count[start] + 1)
+                        last.append(own)
                         break
-                    continue
-                good = pairs.get((before, own))
-                if good or good is None and self.stays_pair(before, own):
-                    break
-            count.append(count[start] + 1)
-            last.append(own)
         return count
 
     def whole(self, token: int) -> bool:
         """Whether the encoder makes this token of its own bytes."""
-        parts = self.parts.get(token)
-        return parts is None or self.stays_pair_under(*parts, self.rank[token])
+        if token not in self.alone:
+            parts = self.parts.get(token)
+            self.alone[token] = parts is None or self.stays_pair_under(*parts, self.rank[token])
+        return self.alone[token]
 
-    def stays_pair_under(self, left: int, right: int, rank: int) -> bool:
+    def stays_pair_under(self, left: int, right: int, before: int) -> bool:
         """Whether both parts stand side by side when the merge of this rank comes."""
-        key = left, right, rank
-        found = self.pairs.get(key)
-        if found is None:
-            before = rank
-            found = True
-            while True:
-                across = self.merge.get((left, right))
-                if across is not None and across[0] < before:
-                    found = False
-                    break
-                a, b = self.rank[left], self.rank[right]
-                if a < 0 and b < 0:
-                    break
-                if a > b:
-                    before, left = a, self.parts[left][1]
-                else:
-                    before, right = b + 1, self.parts[right][0]
-            self.pairs[key] = found
-        return found
+        while True:
+            across = self.merge.get((left, right))
+            if across is not None and across[0] < before:
+                return False
+            a, b = self.rank[left], self.rank[right]
+            if a < 0 and b < 0:
+                return True
+            # the left one's merge counts as earlier than an equal one on its right
+            if a > b:
+                before, left = a, self.parts[left][1]
+            else:
+                before, right = b + 1, self.parts[right][0]
 
     def _pre_token(self, piece: str) -> bytes:
-        found = self.pre_tokens.get(piece)
-        if found is None:
-            raw = piece.encode()
-            count = np.array(self.prefix(raw))
-            if piece in self.CONTRACTIONS:
-                count[2] = 2
-            if len(raw) != len(piece):  # counts where a character ends
-                count = count[np.cumsum([0] + [len(c.encode()) for c in piece])]
-            found = np.diff(count).astype("<i4").tobytes()
-            if len(piece) <= KEPT_LENGTH:
-                if len(self.pre_tokens) >= KEPT:
-                    self.pre_tokens.clear()
-                self.pre_tokens[piece] = found
-        return found
+        raw = piece.encode()
+        count = self.prefix(raw)
+        if piece in self.CONTRACTIONS:
+            count[2] = 2
+        if len(raw) != len(piece):  # counts where a character ends
+            count = np.array(count)[np.cumsum([0] + [len(c.encode()) for c in piece])].tolist()
+        return array("i", [b - a for a, b in zip(count, count[1:])]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        found = b"".join(map(self._pre_token, self.PATTERN.findall(chunk)))
-        if len(chunk) <= KEPT_LENGTH:
-            if len(self.chunks) >= KEPT:
-                self.chunks.clear()
-            self.chunks[chunk] = found
-        return found
+        return b"".join(map(self.pre_tokens.__getitem__, self.PATTERN.findall(chunk)))
 
     def steps(self, text: str) -> np.ndarray:
         """The change of the count at each character of a text; their cumulative sum is the count of each prefix."""
@@ -204,12 +175,16 @@ class PrefixCounter:
         """The same for a text in which no special string is looked for."""
         if not text:
             return np.zeros(0, "<i4")
-        known = self.chunks
-        out = np.frombuffer(b"".join([known.get(c) or self._chunk(c) for c in self.CHUNK.split(text) if c]), "<i4")
+        if text[-1] == " " or self.WIDE.search(text):
+            parts = self.CHUNK.split(text)
+        else:  # every space begins a chunk
+            first, *rest = text.split(" ")
+            parts = [first, *[" " + p for p in rest]]
+        out = np.frombuffer(b"".join(map(self.chunks.__getitem__, parts)), "<i4")
         for i, run in enumerate(self.RUN.finditer(text)):
             out = out if i else out.copy()
             end = run.end() - 1
-            alone = np.frombuffer(self._pre_token(run[0]), "<i4")
+            alone = np.frombuffer(self.pre_tokens[run[0]], "<i4")
             more = int(alone[-1]) - int(out[end])
             out[end] += more
             out[end + 1] -= more
