@@ -156,6 +156,14 @@ def anti(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(gone.select(key), key, "left_anti")
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column is called so (in any case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 #: Files of an intermediate table for each core of the cluster, at most. Many shuffle partitions of a few rows each cost
 #: more to write than to compute.
 FILES_PER_CORE = 6

@@ -328,6 +328,8 @@ def pii_report(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle brackets; overlapping ones by one mark."""
     columns = docs.columns
+    # the row in one column, so that none of its names meets one that is used here
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("text").alias("text"))
     found = with_spans(docs, fit(docs) if model is None else model)
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -341,4 +343,4 @@ def redacted(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return F.concat(F.array_join(done["out"], ""), F.substring(F.col("text"), done["at"] + 1, F.length("text")))
 
     clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", none, step, finish)).otherwise(F.col("text"))
-    return found.withColumn("text", clean).select(*columns)
+    return found.select(*((clean if c == "text" else F.col("row")[c]).alias(c) for c in columns))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Phrases, Words, arrow_map, mix, signed, slices, stored, with_bytes
+from .common import Phrases, Words, arrow_map, free, mix, signed, slices, stored, with_bytes
 
 WINDOW = 50
 RUN = 8
@@ -368,10 +368,12 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, spans: DataFrame, *columns: str, text: str = "text") -> DataFrame:
+    """The named columns, ``text``, and last the spans, under a name that is free."""
     entries = spans.agg(F.sum(F.size("spans") + 1).alias("n")).first()["n"] or 0
     right = F.broadcast(spans) if entries <= BROADCAST_ENTRIES else spans
-    right = right.select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"))
-    return docs.join(right, F.col("doc_id") == F.col("_of"), "left").select(*columns, text, "_spans")
+    own, of = docs.select(*columns, text), free("_of", [*columns, text])
+    right = right.select(F.col("doc_id").alias(of), F.col("spans").alias(free("_spans", [*columns, text])))
+    return own.join(right, own["doc_id"] == right[of], "left").drop(of)
 
 
 def _gone(words: Words, spans: pa.Array) -> np.ndarray:
@@ -393,7 +395,7 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterable[dict]:
         for part in slices(batch):
             words = Words(part.column("text"))
-            gone = _gone(words, part.column("_spans"))
+            gone = _gone(words, part.column(part.num_columns - 1))
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
             digests = []
             for text, low, n in zip(part.column("text").to_pylist(), words.first.tolist(), removed.tolist()):
@@ -418,7 +420,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"))
-                gone = _gone(words, part.column("_spans"))
+                gone = _gone(words, part.column(part.num_columns - 1))
                 texts = part.column("text").to_pylist()
                 data = words.data.tobytes()
                 for i in np.unique(words.owner[gone]).tolist():
