@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_stream import Encoder, packed
+from .bpe_stream import Encoder
 from .common import SLICE_BYTES, arrow_map, slices, stored, with_bytes
-from .tokens import Kept
+from .tokens import Kept, packed
 
 CHUNK_BYTES = 8 << 20
 #: Linked id pairs of a slice that are expanded at a time.

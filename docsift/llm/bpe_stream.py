@@ -25,8 +25,6 @@ from __future__ import annotations
 import codecs
 import json
 import re
-import sys
-from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, slices, with_bytes
-from .tokens import byte_letters, load_tokenizer
+from .tokens import byte_letters, load_tokenizer, packed
 
 #: Fixed value: the pattern of pre-tokens.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -76,14 +74,6 @@ class Merges:
         return self.to_id[self.model._encode_single_piece(raw)].tolist()
 
 
-def packed(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit numbers."""
-    numbers = array("I", ids)
-    if sys.byteorder == "big":
-        numbers.byteswap()
-    return numbers.tobytes()
-
-
 def lookahead(merges: list[tuple[str, str]]) -> int:
     """Bytes beyond a token's end after which nothing changes it. Parts have a letter for each byte."""
     made: dict[str, int] = {}

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -15,10 +17,20 @@ import regex
 
 #: Bytes of words and their results that one cache of a worker keeps in each of its two generations.
 KEPT_BYTES = 24 << 20
+#: The same for the words of a vocabulary that drops white space.
+KEPT_WORDS = 64 << 20
 #: A single result above this is not kept.
 KEPT_ENTRY = 1024
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class Kept(dict):
     """What ``make`` returns for a key, remembered within a fixed number of bytes.
 
@@ -92,7 +104,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.words, self.pieces = Kept(self._word), Kept(self._piece)
+        self.words, self.pieces = Kept(self._word, KEPT_WORDS), Kept(self._piece)
         letters = byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(33, 256)}
 
@@ -106,12 +118,15 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and len(word) < KEPT_ENTRY:  # one piece
+            return self.pieces[word.lower()]
         if self.PLAIN.fullmatch(word) and "<|" not in word and len(word) < KEPT_ENTRY:
             return b"".join(map(self.pieces.__getitem__, self.PATTERN.findall(word.lower())))
         return self._whole(word)
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.letters))], "<u4").tobytes()
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+        return packed(ids)
 
 
 @lru_cache(maxsize=2)
