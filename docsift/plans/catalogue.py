@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 from functools import reduce
 
@@ -24,11 +25,15 @@ from ..operators.neighbours import nearest
 from ..operators.smote import smote
 from ..operators.tfidf import TextCleaner, Tfidf, TfidfModel
 from ..session import materialize, scratch_path
-from ..sources import cache, exchange, files, pages, registry, sinks
+from ..sources import cache, exchange, files, pages, payloads, registry, sinks
+from ..sources.extract import extract
+from ..sources.ids import assign_ids
+from ..sources.versions import VersionedTable
 from ..streaming import labels as label_stream
 from ..streaming import score as score_stream
 from . import predict, score_rule
 from . import tables as T
+from .phrases import phrased
 from .train import train_job
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +73,15 @@ def removed_keywords(spark, folder):
     return D.keyword_report(D.clean_documents(T.documents(spark, folder)))
 
 
+def clean_phrases(spark, folder):
+    """Documents that hold what the rules for authors, noise words, figures, tables and references are about."""
+    return D.clean_documents(phrased(T.documents(spark, folder))).select("doc_id", "clean")
+
+
+def removed_phrases(spark, folder):
+    return D.keyword_report(D.clean_documents(phrased(T.documents(spark, folder))))
+
+
 def preprocess_stats(spark, folder):
     return D.cleaning_stats(D.clean_documents(T.documents(spark, folder)))
 
@@ -201,12 +215,52 @@ def _text_cache(spark, folder):
     )
 
 
+def _contents(spark, folder):
+    """Documents as file contents of four kinds: plain, coded, broken, and too short."""
+    kind, text = F.col("doc_id") % 4, F.coalesce("text", F.lit(""))
+    content = F.when(kind == 0, F.concat(F.lit("T:"), text)).when(kind == 1, F.concat(F.lit("S:"), F.base64(text.cast("binary"))))
+    content = content.when(kind == 2, F.concat(F.lit("X:"), text)).otherwise(F.concat(F.lit("T:"), F.substring(text, 1, 20)))
+    return T.documents(spark, folder).select("doc_id", content.cast("binary").alias("content"))
+
+
+def _printed():
+    def read(content):
+        text = content.decode("utf-8")
+        if text.startswith("X:"):
+            raise ValueError("broken file")
+        return text[2:] if text.startswith("T:") else ""
+
+    return read
+
+
+def _scanned():
+    return lambda content: base64.b64decode(content[2:]).decode("utf-8") if content.startswith(b"S:") else ""
+
+
+def lazy_extraction(spark, folder):
+    """Texts of the contents by two extractors, the second of which is only called where the first found too little."""
+    found = extract(_contents(spark, folder), [("printed", _printed), ("scanned", _scanned)])
+    return found.select("doc_id", "extractor", "text", F.col("error").isNotNull().alias("failed"))
+
+
 def cache_split(spark, folder):
     docs = T.table(spark, folder, "documents").select("doc_id", "text")
     tagged, _ = cache.extract_incremental(docs, _text_cache(spark, folder), lambda misses: misses)
     return tagged
 
 
+def cache_versions(spark, folder):
+    """Texts of pages, then of documents, then of benchmark items as batches of one cache, with a replay, compacted half way."""
+    cached = VersionedTable(spark, scratch_path(spark, "cache"), "doc_id bigint, text string")
+    pages = T.table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))
+    cached.upsert(pages, "pages")
+    cached.upsert(T.table(spark, folder, "documents").filter("doc_id % 3 > 0").select("doc_id", "text"), "documents")
+    cached.compact()
+    cached.upsert(pages, "pages")
+    cached.upsert(T.table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "benchmark")
+    return cached.read()
+
+
 def cache_counts(spark, folder):
     return cache.cache_counts(cache_split(spark, folder))
 
@@ -456,6 +510,22 @@ def exchange_parse(spark, folder):
     return exchange.item_documents(exchange.parse_items(_batches(spark, folder), strict=False))
 
 
+def exchange_files(spark, folder):
+    """The batches as payload files, read back: items of the valid ones, and which ones were rejected."""
+    out = scratch_path(spark, "exchange")
+    payloads.write_payloads(_batches(spark, folder).select(F.col("batch_id").alias("name"), "payload"), out)
+    rows = payloads.read_payloads(spark, out, task_bytes=1 << 20)
+    return rows.select(F.col("name").cast("bigint").alias("batch_id"), "pos", "id", "content", F.col("rejected").isNotNull().alias("is_rejected"))
+
+
+def exchange_answers(spark, folder):
+    """Answers by the length rule through result files: written, then read as they stand there."""
+    out = scratch_path(spark, "answers")
+    payloads.write_payloads(exchange_output(spark, folder).select(F.col("batch_id").alias("name"), "payload"), out)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(out)
+    return files.select(stem(F.col("path")).cast("bigint").alias("batch_id"), F.col("content").cast("string").alias("payload"))
+
+
 def exchange_output(spark, folder):
     """Answers to the valid batches by a length rule; every fifth batch's last item is skipped."""
     docs = exchange_parse(spark, folder)
@@ -591,9 +661,36 @@ def _rare_rows(spark, folder):
     return _training_rows(spark, folder, "toxic")
 
 
+def _written(vector):
+    """Millionths of the components, with a space between."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x * 1e6).cast("bigint").cast("string")), " ")
+
+
 def smote_rows(spark, folder):
-    """Training rows of the rare label with the synthetic ones."""
-    return smote(_rare_rows(spark, folder)).select("doc_id", "y", "synthetic", F.round(vector_to_array("features")[0], 6).alias("x0"))
+    """Training rows of the rare label with the synthetic ones: whole vectors of the former, and what holds for the latter.
+
+    A synthetic row is the given share of the way from a rare row to one of its five nearest.
+    """
+    rows = _rare_rows(spark, folder)
+    out = materialize(smote(rows, origins=True), "smote")
+    found = materialize(minority_neighbours(spark, folder).select(F.col("key").alias("base"), "near"), "near")
+    rare = rows.filter("y = 1").select(F.col("doc_id").alias("base"), vector_to_array("features").alias("a"))
+    made = out.filter("synthetic").join(rare, "base").join(rare.toDF("near", "b"), "near")
+    made = made.join(found.withColumn("is_near", F.lit(True)), ["base", "near"], "left")
+    off = F.aggregate(
+        F.zip_with(vector_to_array("features"), F.zip_with("a", "b", lambda a, b: a + F.col("share") * (b - a)), lambda v, w: F.abs(v - w)),
+        F.lit(0.0), lambda most, x: F.greatest(most, x),
+    )
+    sound = (off < 1e-9) & F.coalesce("is_near", F.col("base") == F.col("near")) & F.col("share").between(0, 1) & (F.col("doc_id") < 0)
+    kept = out.filter("NOT synthetic").select(
+        "doc_id", "y", _written(vector_to_array("features")).alias("vector"), F.lit(None).cast("bigint").alias("n_sound")
+    )
+    checks = made.agg(F.count_if(sound).alias("n_sound"), F.count_distinct("doc_id").alias("n"))
+    checks = checks.filter("n > 0").select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.lit(1).alias("y"), F.lit(None).cast("string").alias("vector"),
+        F.when(F.col("n") == F.col("n_sound"), F.col("n_sound")).otherwise(F.lit(-1)).alias("n_sound"),
+    )
+    return kept.unionByName(checks)
 
 
 def smote_counts(spark, folder):
@@ -630,6 +727,48 @@ def predictions_table(spark, folder):
     return rounded(routed.drop("text"), "score", "confidence")
 
 
+def _combined_pipeline(spark, folder, cache):
+    """Words, embeddings and scaling fitted on the labelled documents; the weights are a fixed rule."""
+    train, model = fitted(spark, folder)
+    both = E.assembler().transform(E.with_semantic(model.transform(train), cache, score_rule.length_encoder, 64))
+    return PipelineModel(
+        [TextCleaner(), *model.stages(), E.sized("tfidf", len(model.entries)), E.assembler(), E.fit_scaler(both), score_rule.LinearRule()]
+    )
+
+
+def predict_combined(spark, folder):
+    """All documents under a model of words and embeddings: those without an embedding are encoded."""
+    cache = T.embedding_cache(spark, folder)
+    pipeline = _combined_pipeline(spark, folder, cache)
+    docs = T.documents(spark, folder)
+    routed = predict.predict_job(pipeline, docs, cache=cache, encoder=score_rule.length_encoder, dim=64)
+    return rounded(routed.select("doc_id", "prediction", "score", "confidence", "route"), "score", "confidence")
+
+
+def stream_combined(spark, folder):
+    """The same through the stream: every batch meets the cache and encodes what is missing there."""
+    cache = T.embedding_cache(spark, folder)
+    pipeline = _combined_pipeline(spark, folder, cache)
+    stream, out = score_stream.document_stream(spark, folder, "documents.parquet"), scratch_path(spark, "scored")
+    query = score_stream.score_stream(
+        pipeline, stream, out, scratch_path(spark, "state"), once=True, cache=cache, encoder=score_rule.length_encoder, dim=64
+    )
+    query.awaitTermination()
+    return rounded(spark.read.parquet(out).select("doc_id", "prediction", "score", "confidence", "route"), "score", "confidence")
+
+
+def document_ids(spark, folder):
+    """Ids of files: different for different names, the same for a name in two batches, never negative."""
+    names = T.documents(spark, folder).select(stem(F.col("filename")).alias("stem"))
+    first = materialize(assign_ids(names.filter("stem < '00500'")), "ids")
+    every = materialize(first.unionByName(assign_ids(names, first)), "ids")
+    again = every.join(assign_ids(names).withColumnRenamed("doc_id", "again"), "stem")
+    same = F.col("doc_id") == F.col("again")
+    distinct = F.count_distinct("doc_id") == F.count(F.lit(1))
+    checks = again.agg(F.count(F.lit(1)).alias("n"), distinct.alias("is_unique"), F.bool_and(same).alias("is_stable"), (F.min("doc_id") >= 0).alias("is_positive"))
+    return checks
+
+
 def evaluate_batch(spark, folder):
     report = predict.evaluate_batch(_text_pipeline(spark, folder), T.documents(spark, folder), T.label_rows(spark, folder))
     return rounded(report["report"], "precision", "recall", "f1")
@@ -659,10 +798,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         clean_documents, clean_keep_case, clean_keep_specials, clean_pages, preprocess_report,
-        removed_keywords, preprocess_stats, document_lengths,
+        removed_keywords, clean_phrases, removed_phrases, preprocess_stats, document_lengths,
         vocabulary, tfidf_long, tfidf_transform_unseen, class_mean_tfidf, top_useful_terms,
         top_not_useful_terms, noise_terms, chi2_scores, chi2_selected,
-        file_info, decoded_texts, assemble_pages, extraction_cascade, cache_split, cache_counts,
+        file_info, decoded_texts, assemble_pages, extraction_cascade, lazy_extraction, cache_split, cache_versions,
+        cache_counts,
         first_cached, cache_stats, merge_by_stem, file_dispatch,
         label_table, stratified_split, split_rows, split_summary, split_label_counts, class_balance,
         class_weights, fold_assignment, label_lookup, unlabelled_docs, evaluation_rows, resolve_split,
@@ -672,9 +812,11 @@ QUERIES: dict[str, Query] = {
         positive_predictions, fold_accuracy_band, quality_flags, model_top_features,
         model_top_importances,
         route_predictions, predictions_rule_table, exchange_batches, exchange_parse, exchange_output,
+        exchange_files, exchange_answers,
         latest_artifacts, feedback_records, feedback_rejects, locate_file, missing_files,
         corrections_applied, correction_log, corrected_labels, relabelled_split, current_labels,
         lr_fit, svm_fit, rf_fit, iforest, cv_scores, smote_rows, smote_counts, minority_neighbours,
-        train_predictions, predictions_table, evaluate_batch, stream_score, stream_labels,
+        train_predictions, predictions_table, predict_combined, stream_combined, document_ids, evaluate_batch, stream_score,
+        stream_labels,
     )
 }

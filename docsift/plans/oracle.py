@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracle_text import CHI2, CLEANED, FITTED, MEANS, clean_sql, removed_sql, stripped_sql, terms_ctes, weights_cte
+from .oracle_text import CHI2, CLEANED, FILENAME, FITTED, MEANS, clean_sql, removed_sql, stripped_sql, terms_ctes, weights_cte
+from .phrases import phrased_sql
 
 ROUNDED_MEANS = """feature_index, feature_name, round(useful_mean_tfidf, 6) AS useful_mean_tfidf,
   round(not_useful_mean_tfidf, 6) AS not_useful_mean_tfidf, round(difference, 6) AS difference"""
@@ -307,8 +308,48 @@ size AS (SELECT count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FRO
 SQL["smote_counts"] = f"""WITH {RARE}
 SELECT y, false AS synthetic, count(*) AS n FROM rare GROUP BY y
 UNION ALL SELECT 1, true, n0 - n1 FROM size WHERE n0 > 5 * n1 AND n1 > 1"""
+SQL["smote_rows"] = f"""WITH {RARE}
+SELECT doc_id, y::INTEGER AS y, array_to_string([round(x::DOUBLE * 1e6)::BIGINT FOR x IN embedding], ' ') AS vector, NULL::BIGINT AS n_sound FROM rare
+UNION ALL SELECT NULL, 1, NULL, n0 - n1 FROM size WHERE n0 > 5 * n1 AND n1 > 1"""
 SQL["minority_neighbours"] = f"""WITH {RARE}, p AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM rare WHERE y = 1)
 SELECT a.doc_id AS key, b.doc_id AS near, round(list_distance(a.e, b.e), 6) AS gap FROM p a JOIN p b ON a.doc_id <> b.doc_id
 QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY list_distance(a.e, b.e), b.doc_id) <= 5"""
 SQL["stream_score"] = f"""WITH {CLEANED} SELECT doc_id, length(text)::INTEGER AS n_chars FROM cleaned WHERE clean <> ''"""
 SQL["stream_labels"] = SQL["current_labels"]
+
+SQL["predict_combined"] = f"""WITH {FITTED},
+{terms_ctes('cleaned', 'all_')}, {weights_cte('all_weight', 'all_tf')},
+width AS (SELECT count(*)::INTEGER AS w FROM vocab),
+semantic AS (
+  SELECT c.doc_id, coalesce(embedding::DOUBLE[], [(length(clean) + j) % 16 / 16 FOR j IN range(64)]) AS v
+  FROM cleaned c LEFT JOIN embeddings e ON c.doc_id = e.vec_id WHERE clean <> ''),
+entry AS (
+  SELECT doc_id, feature_index AS i, tfidf AS x FROM all_weight
+  UNION ALL SELECT doc_id, w + generate_subscripts(v, 1) - 1, unnest(v) FROM semantic, width),
+most AS (SELECT i, max(abs(x)) AS m FROM entry SEMI JOIN train USING (doc_id) GROUP BY i),
+margin AS (SELECT doc_id, sum(x / CASE WHEN m = 0 THEN 1 ELSE m END * (i * 37 % 11 - 5)) AS s FROM entry JOIN most USING (i) GROUP BY doc_id),
+scored AS (SELECT doc_id, 1 / (1 + exp(-s / 4)) AS score FROM margin SEMI JOIN semantic USING (doc_id)),
+sure AS (SELECT *, (score >= 0.5)::INTEGER AS prediction, CASE WHEN score >= 0.5 THEN score * 100 ELSE (1 - score) * 100 END AS confidence FROM scored)
+SELECT doc_id, prediction, round(score, 6) AS score, round(confidence, 6) AS confidence,
+  CASE WHEN confidence < 75 THEN 'manual_check' WHEN prediction = 1 THEN 'useful' ELSE 'not_useful' END AS route FROM sure"""
+SQL["stream_combined"] = SQL["predict_combined"]
+SQL["document_ids"] = "SELECT count(*) AS n, true AS is_unique, true AS is_stable, true AS is_positive FROM documents"
+
+SQL["lazy_extraction"] = f"""WITH d AS (SELECT doc_id, doc_id % 4 AS kind, coalesce(text, '') AS text, length({stripped_sql("coalesce(text, '')")}) >= 50 AS enough FROM documents)
+SELECT doc_id, CASE WHEN kind = 2 OR (kind = 0 AND enough) THEN 'printed' ELSE 'scanned' END AS extractor,
+  CASE WHEN kind = 1 OR (kind = 0 AND enough) THEN text ELSE '' END AS text, kind = 2 AS failed FROM d"""
+SQL["exchange_answers"] = SQL["exchange_output"]
+SQL["exchange_files"] = """SELECT conv_id * 1000003 + turn // 64 AS batch_id,
+  (row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) - 1)::INTEGER AS pos, 'id' || (turn % 3) AS id, text AS content, false AS is_rejected
+FROM conversations WHERE conv_id % 10 <> 3
+UNION ALL SELECT DISTINCT conv_id * 1000003 + turn // 64, NULL, NULL, NULL, true FROM conversations WHERE conv_id % 10 = 3"""
+
+PHRASED = f"phrased AS (SELECT doc_id, {FILENAME} AS filename, {phrased_sql()} AS text FROM documents)"
+SQL["clean_phrases"] = f"WITH {PHRASED} SELECT doc_id, {clean_sql('text')} AS clean FROM phrased"
+SQL["removed_phrases"] = f"""WITH {PHRASED}, c AS MATERIALIZED (SELECT filename, text, {clean_sql('text')} AS clean FROM phrased),
+r AS (SELECT filename, {removed_sql('text', 'clean')} AS removed FROM c)
+SELECT filename, removed FROM r WHERE removed <> ''"""
+SQL["cache_versions"] = """WITH u AS (
+  SELECT page_id AS doc_id, url AS text, 1 AS version FROM pages UNION ALL SELECT doc_id, text, 2 FROM documents WHERE doc_id % 3 > 0
+  UNION ALL SELECT item_id, text, 3 FROM benchmark)
+SELECT doc_id, text FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) = 1"""

@@ -17,7 +17,7 @@ from ..operators import metrics as M
 from ..operators import models
 from ..operators import selection as S
 from ..operators.documents import clean_documents, comparison_report
-from ..operators.embed import Encoder, HashingEncoder, assembler, embed_incremental, fit_scaler
+from ..operators.embed import Encoder, HashingEncoder, assembler, embed_incremental, fit_scaler, sized
 from ..operators.smote import smote
 from ..operators.tfidf import TextCleaner, Tfidf, TfidfModel, explode_vector
 from ..session import materialize
@@ -89,8 +89,8 @@ def train_job(
         )
         staged = staged.join(semantic_column(every), "doc_id")
     if config.feature_mode == "combined":
-        stages.append(assembler())
-        staged = stages[-1].transform(staged)
+        stages += [sized("tfidf", len(tfidf.entries)), assembler()]
+        staged = PipelineModel(stages[-2:]).transform(staged)
         scaler = fit_scaler(staged.filter("split = 'train'"))
         stages.append(scaler)
         staged = scaler.transform(staged)

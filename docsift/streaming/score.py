@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.embed import Encoder
 from ..plans.predict import predict_job
 from ..schemas import DOCUMENTS
 
@@ -19,12 +20,22 @@ def document_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet"
     )
 
 
-def score_stream(pipeline: PipelineModel, docs: DataFrame, output: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def score_stream(
+    pipeline: PipelineModel,
+    docs: DataFrame,
+    output: str,
+    checkpoint: str,
+    once: bool = False,
+    cache: DataFrame | None = None,
+    encoder: Encoder | None = None,
+    dim: int | None = None,
+) -> StreamingQuery:
     """Write routed documents to one folder per route, each document exactly once.
 
-    Stateless: every micro-batch runs the row-wise batch job.
+    Stateless: every micro-batch runs the batch job. For a model that reads embeddings it
+    joins the batch with the ``cache``, a table at rest that is read anew for each batch, and encodes what is missing there.
     """
-    routed = predict_job(pipeline, docs)
+    routed = predict_job(pipeline, docs, cache=cache, encoder=encoder, dim=dim)
     writer = routed.writeStream.format("parquet").partitionBy("route").outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint).option("path", output)
     return (writer.trigger(availableNow=True) if once else writer).start()

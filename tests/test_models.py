@@ -8,6 +8,7 @@ from docsift.operators import models
 from docsift.operators.embed import HashingEncoder, combine, embed_incremental, encode, fit_scaler, split_embeddings
 from docsift.operators.neighbours import distances, nearest
 from docsift.operators.smote import smote
+from pyspark.ml.linalg import SparseVector, Vectors
 
 
 def points(seed=0, n=240, width=4, share=0.3):
@@ -145,6 +146,32 @@ def test_smote_properties(spark, options):
     assert dict(zip(out["doc_id"], out["x"].str[0])) == dict(zip(again["doc_id"], again["v"]))
 
 
+def test_smote_of_names_and_sparse_vectors(spark):
+    rng = np.random.default_rng(8)
+    dense = np.where(rng.random((90, 40)) < 0.1, rng.random((90, 40)), 0.0)
+    dense[:12, 0] += 1
+    rows = [(f"paper_{i}", Vectors.sparse(40, {int(j): float(v[j]) for j in np.flatnonzero(v)}), int(i < 12)) for i, v in enumerate(dense)]
+    table = spark.createDataFrame(rows, ["doc_id", "features", "y"])
+    out = smote(table, origins=True).filter("synthetic").collect()
+    assert len(out) == 78 - 12 and len({r.doc_id for r in out}) == len(out) and all(r.doc_id.startswith(r.base + "#") for r in out)
+    number = {f"paper_{i}": dense[i] for i in range(12)}
+    for r in out:
+        assert isinstance(r.features, SparseVector)
+        assert np.abs(number[r.base] + r.share * (number[r.near] - number[r.base]) - r.features.toArray()).max() < 1e-12
+
+
+def test_synthetic_rows_of_one_much_copied_row_are_dealt_out(spark):
+    x = np.vstack([np.zeros((30, 3)), [[1.0, 1.0, 1.0]], np.ones((4000, 3)) * 5])
+    rows = frame(spark, x, [1] * 31 + [0] * 4000).withColumn("doc_id", F.xxhash64("doc_id") % (1 << 62) + (1 << 62))
+    made = smote(rows, chunk=100, origins=True).filter("synthetic")
+    assert made.count() == 4000 - 31 and made.select("doc_id").distinct().count() == 4000 - 31
+    assert made.agg(F.max("doc_id")).first()[0] < 0
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(sequence" in plan
+    sizes = [r["count"] for r in made.groupBy("base").count().collect()]
+    assert max(sizes) > 3000  # the copies are one base, whose rows come from many chunks
+
+
 def test_smote_not_needed_or_impossible(spark):
     x, _ = points(7, 60)
     assert smote(frame(spark, x, [1] * 10 + [0] * 50)).filter("synthetic").count() == 0
