@@ -30,6 +30,7 @@ from ..sources.extract import extract
 from ..sources.ids import assign_ids
 from ..sources.versions import VersionedTable
 from ..streaming import labels as label_stream
+from ..streaming.corrections import correction_stream
 from ..streaming import score as score_stream
 from . import predict, score_rule
 from . import tables as T
@@ -581,7 +582,11 @@ def _file_dirs(spark, folder):
 
 
 def _corrections(spark, folder):
-    return T.feedback_events(spark, folder).select(
+    return _as_corrections(T.table(spark, folder, "events"))
+
+
+def _as_corrections(events):
+    return T.decisions(events).select(
         F.col("event_id").cast("string").alias("record_id"), "filename", "decision",
         F.col("value").alias("predicted_score"), F.lit("r1").alias("reviewer"), "at",
     )
@@ -786,6 +791,14 @@ def stream_score(spark, folder):
     return spark.read.parquet(out).select("doc_id", F.length("text").alias("n_chars"))
 
 
+def stream_corrections(spark, folder):
+    """The log of real moves from a stream of corrections."""
+    events = spark.readStream.schema(T.table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    out = scratch_path(spark, "moves")
+    correction_stream(_as_corrections(events), _file_dirs(spark, folder), out, scratch_path(spark, "state"), once=True).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def stream_labels(spark, folder):
     events = spark.readStream.schema(T.table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     decided = FB.valid_corrections(T.decisions(events).withColumn("record_id", F.col("event_id").cast("string")))[0]
@@ -817,6 +830,6 @@ QUERIES: dict[str, Query] = {
         corrections_applied, correction_log, corrected_labels, relabelled_split, current_labels,
         lr_fit, svm_fit, rf_fit, iforest, cv_scores, smote_rows, smote_counts, minority_neighbours,
         train_predictions, predictions_table, predict_combined, stream_combined, document_ids, evaluate_batch, stream_score,
-        stream_labels,
+        stream_labels, stream_corrections,
     )
 }

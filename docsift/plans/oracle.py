@@ -353,3 +353,4 @@ SQL["cache_versions"] = """WITH u AS (
   SELECT page_id AS doc_id, url AS text, 1 AS version FROM pages UNION ALL SELECT doc_id, text, 2 FROM documents WHERE doc_id % 3 > 0
   UNION ALL SELECT item_id, text, 3 FROM benchmark)
 SELECT doc_id, text FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) = 1"""
+SQL["stream_corrections"] = SQL["correction_log"]
