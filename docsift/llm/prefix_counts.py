@@ -8,7 +8,7 @@ before is such a pair. This gives ``count[i] = count[i - len(token)] + 1`` for e
 one pass, and the count of the whole is that of its last prefix.
 
 The pre-tokens of a text are independent, and each distinct one is done once in a
-worker. A document keeps the difference of the count at each character to the one
+worker. New ones are taken in alphabetical order, so each goes on from the prefix it shares with the one before. A document keeps the difference of the count at each character to the one
 before as a signed 32-bit number, so a cumulative sum answers: how many tokens has
 the prefix of n characters, and where to cut for a budget of tokens, with no further
 encoding.
@@ -25,19 +25,22 @@ import re
 from array import array
 from collections.abc import Iterable
 from functools import lru_cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, slices, with_bytes
 from .tokens import Kept, byte_letters, load_tokenizer
 
 #: Pairs of tokens whose compatibility a worker keeps; beyond that it starts anew.
 KEPT_PAIRS = 500_000
 #: Bytes of chunks and of pre-tokens that a worker keeps, in each of two generations.
-KEPT_CHUNKS, KEPT_PRE_TOKENS = 64 << 20, 32 << 20
+KEPT_CHUNKS, KEPT_PRE_TOKENS = 96 << 20, 48 << 20
+#: Longer chunks are not learnt beforehand.
+PREPARED = 128
 
 
 class PrefixCounter:
@@ -94,28 +97,59 @@ class PrefixCounter:
 
     def prefix(self, text: bytes) -> list[int]:
         """Tokens of each prefix of a pre-token, by its length in bytes, from 0."""
+        count, last, begin = [0], [-1], [0]
+        self.extend(text, count, last, begin)
+        return count
+
+    def extend(self, text: bytes, count: list[int], last: list[int], begin: list[int]) -> None:
+        """Goes on from the prefixes that are known: their counts, and the last token of each with its begin.
+
+        Exactly one begin is right, so they may be tried in any order: often the last token grows, or a new one starts.
+        """
         get, longest, pairs, alone = self.token.get, self.longest, self.pairs, self.alone
-        count, last = [0], [-1]
-        for end in range(1, len(text) + 1):
-            at = 0
-            if end <= longest:  # one token for all
-                own = get(text[:end])
-                if own is not None:
-                    good = alone.get(own)
-                    if good or good is None and self.whole(own):
-                        count.append(1)
-                        last.append(own)
-                        continue
-                at = 1
-            for start in range(at or end - longest, end):
+        for end in range(len(count), len(text) + 1):
+            grown = begin[end - 1]
+            for start in (grown, end - 1, *range(max(0, end - longest), end - 1)):
                 own = get(text[start:end])
-                if own is not None:
+                if own is None:
+                    continue
+                if start:
                     good = pairs.get((last[start], own))
-                    if good or good is None and self.stays_pair(last[start], own):
-                        count.append(count[start] + 1)
-                        last.append(own)
-                        break
-        return count
+                    if good is None:
+                        good = self.stays_pair(last[start], own)
+                else:
+                    good = alone.get(own)
+                    if good is None:
+                        good = self.whole(own)
+                if good:
+                    count.append(count[start] + 1)
+                    last.append(own)
+                    begin.append(start)
+                    break
+
+    def prepare(self, texts: list[str]) -> None:
+        """Learns the new pre-tokens of some texts in order, so that each goes on where it parts from the one before."""
+        known, older, new = self.chunks, self.chunks.older, set()
+        for word in set(" ".join(texts).split(" ")):
+            chunk = " " + word
+            if len(chunk) <= PREPARED and chunk not in known and chunk not in older:
+                if word.isascii() and word.isalpha():
+                    new.add(chunk)
+                else:
+                    new.update(self.PATTERN.findall(chunk))
+        known, older = self.pre_tokens, self.pre_tokens.older
+        count, last, begin, before = [0], [-1], [0], b""
+        for raw in sorted(p.encode() for p in new if p not in known and p not in older):
+            same = 0
+            for x, y in zip(before, raw):
+                if x != y:
+                    break
+                same += 1
+            del count[same + 1 :], last[same + 1 :], begin[same + 1 :]
+            self.extend(raw, count, last, begin)
+            before = raw
+            piece = raw.decode()
+            known.keep(piece, self._changes(piece, raw, count))
 
     def whole(self, token: int) -> bool:
         """Whether the encoder makes this token of its own bytes."""
@@ -141,12 +175,15 @@ class PrefixCounter:
 
     def _pre_token(self, piece: str) -> bytes:
         raw = piece.encode()
-        count = self.prefix(raw)
+        return self._changes(piece, raw, self.prefix(raw))
+
+    def _changes(self, piece: str, raw: bytes, count: list[int]) -> bytes:
+        """From each character to the next."""
         if piece in self.CONTRACTIONS:
-            count[2] = 2
+            count = [*count[:2], 2, *count[3:]]
         if len(raw) != len(piece):  # counts where a character ends
-            count = np.array(count)[np.cumsum([0] + [len(c.encode()) for c in piece])].tolist()
-        return array("i", [b - a for a, b in zip(count, count[1:])]).tobytes()
+            count = [n for n, b in zip(count, raw) if b & 0xC0 != 0x80] + [count[len(raw)]]
+        return array("i", map(sub, count[1:], count)).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.pre_tokens.__getitem__, self.PATTERN.findall(chunk)))
@@ -218,15 +255,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, keep_steps: bool
 
     def work(batch: pa.RecordBatch) -> Iterable[dict]:
         counter = prefix_counter(path)
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for at in range(0, len(texts), 256):
-            part = texts[at : at + 256]
+        for rows in slices(batch):
+            part = [t.decode() if t else "" for t in rows.column("text").to_pylist()]
+            counter.prepare(part)
             steps = [counter.steps(t) for t in part]
             n = [int(s.sum()) for s in steps]
             fits = [len(t) if k <= limit else fitting_prefix(s.tobytes(), limit) for t, s, k in zip(part, steps, n)]
-            columns = {"doc_id": batch.column("doc_id").slice(at, 256), "n_bytes": [len(t.encode()) for t in part]}
+            columns = {"doc_id": rows.column("doc_id"), "n_bytes": [len(t.encode()) for t in part]}
             columns |= {"n_tokens": n, "over_limit": [k > limit for k in n], "fits": fits}
             yield columns | ({"steps": [s.tobytes() for s in steps]} if keep_steps else {})
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits long" + (", steps binary" if keep_steps else "")
-    return arrow_map(docs.select("doc_id", "text"), work, schema)
+    return arrow_map(with_bytes(docs, "doc_id"), work, schema)
