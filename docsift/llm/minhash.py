@@ -12,7 +12,11 @@
    shares most buckets with others, which is the original among its edited copies.
    A bucket whose nodes are connected is done. In the others the compared pivots are
    taken out and ``DRAW`` times as many are drawn, until no bucket holds two
-   components. So each pair in a bucket is either compared or known to be connected.
+   components. From then on a pair is formed only if the rarest shingles of both meet, as those of linked sets
+   must: with the shingles of a set in order of their number in all sets, the larger set's first (1 - t) share
+   has one in common with the smaller set's first (1 - t) / (1 + t) share. Copies that have been edited
+   each in its own way have rare shingles of their own and don't meet.
+   So each pair in a bucket is compared, known to be connected, or known not to be linked.
 4. A pair is first judged by its signatures, with a margin beyond which no link is
    lost in practice (5.5 standard errors), then by the two full sets.
 5. Links become components by alternating large-star and small-star.
@@ -153,12 +157,27 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return arrow_map(chosen, work, "node long, set array<long>")
 
 
-def linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """``node, size, shared`` of the sets of which ``percent`` or more (``shared``) also occurs in others, as a link takes."""
+def linkable(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``shingle, n`` of the shingles in several sets, and ``node, size, shared`` of the sets of which ``percent`` or more (``shared``) also occurs in others, as a link takes."""
     shingles = sets.select("node", F.size("set").alias("size"), F.explode("set").alias("shingle"))
-    common = stored(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "common")
+    common = stored(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "common")
     shared = shingles.join(common, "shingle", "left_semi").groupBy("node", "size").agg(F.count("*").alias("shared"))
-    return shared.where(F.col("shared") * 100 >= F.col("size") * percent)
+    return common, shared.where(F.col("shared") * 100 >= F.col("size") * percent)
+
+
+def rarest(sets: DataFrame, common: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``node, probe, index``: the first shingles of each set, the rarest first, as a larger and as a smaller partner.
+
+    Linked sets have ``percent / 100`` of the larger and ``2 * percent / (100 + percent)`` of the smaller in common at least; so
+    some common shingle comes before the rest of either. The upper halves of hashes stand for shingles here: equal ones still meet.
+    """
+    own = sets.join(nodes, "node", "left_semi").select("node", F.explode("set").alias("shingle")).join(common, "shingle", "left")
+    own = own.select("node", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle").alias("e"))
+    listed = own.groupBy("node").agg(F.array_sort(F.collect_list("e")).alias("s"))
+    size = F.size("s")
+    first = lambda least: F.transform(F.slice("s", F.lit(1), size - least + 1), lambda e: F.shiftright(e["shingle"], 32).cast("int"))
+    larger, smaller = F.expr(f"int((size(s) * {percent}L + 99) div 100)"), F.expr(f"int((size(s) * {2 * percent}L + {99 + percent}) div {100 + percent})")
+    return listed.select("node", first(larger).alias("probe"), first(smaller).alias("index"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int, size: int = SHINGLE) -> DataFrame:
@@ -168,8 +187,9 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int
     members = stored(buckets.join(sizes, "key"), "members")
     ids = stored(members.groupBy("node").agg(F.sum("n").alias("meets")), "meets")
     sets = stored(full_sets(docs, ids.select("node"), size), "sets")
-    marks = stored(nodes.join(ids.select("node"), "node", "left_semi").select("node", "signature"), "marks")
-    able = stored(linkable(sets, percent), "linkable")
+    marks = nodes.select("node", "signature")
+    common, able = linkable(sets, percent)
+    able = stored(able, "linkable")
     open_ = stored(members.select("node", "key").join(ids.join(able, "node"), "node"), "open")
     # |a and b| is at most what either shares with anyone, and a link takes (100 + percent) |a and b| >= percent (|a| + |b|)
     may_link = F.least("shared", "its_shared") * (100 + percent) >= (F.col("size") + F.col("its_size")) * percent
@@ -183,11 +203,14 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int
             pivots = open_.where(spread < DRAW**draw).select(
                 "key", F.col("node").alias("pivot"), F.col("component").alias("own"),
                 F.col("size").alias("its_size"), F.col("shared").alias("its_shared"),
+                F.col("probe").alias("its_probe"), F.col("index").alias("its_index"),
             )
         pivots = stored(pivots, "pivots")
         pairs = open_.join(pivots, "key").where((F.col("node") != F.col("pivot")) & may_link)
         if draw:
-            pairs = pairs.where("component != own")
+            larger = (F.col("size") > F.col("its_size")) | ((F.col("size") == F.col("its_size")) & (F.col("node") > F.col("pivot")))
+            meet = F.when(larger, F.arrays_overlap("probe", "its_index")).otherwise(F.arrays_overlap("its_probe", "index"))
+            pairs = pairs.where((F.col("component") != F.col("own")) & meet)
         pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -205,7 +228,10 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int
         split = stored(split.where("lo != hi").select("key", "n"), "split")
         if split.isEmpty():
             return labels
-        open_ = stored(rest.join(split, "key"), "open")
+        open_ = rest.join(split, "key")
+        if not draw:
+            open_ = open_.join(stored(rarest(sets, common, open_.select("node").distinct(), percent), "rarest"), "node")
+        open_ = stored(open_, "open")
         draw += 1
 
 

@@ -255,3 +255,27 @@ def test_url_rules_and_reputation(spark):
     assert once.first()["verdict"] == "allow"  # one page is not enough
     assert urls.judge(frame.limit(0), labelled.limit(0), rules).count() == 0
     assert urls.judge(frame, labelled.limit(0), rules).count() == len(pages)
+
+
+def test_rarest_shingles_of_linked_sets_meet(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**62), 2**62, 60)
+    sets = []
+    for i in range(120):
+        own = set(base[rng.random(60) > 0.06 * (i % 4)].tolist()) | set(rng.integers(-(2**62), 2**62, int(rng.integers(0, 9))).tolist())
+        sets.append((i, sorted(own)))
+    frame = spark.createDataFrame(sets, "node long, set array<long>")
+    for percent in (80, 85):
+        common, _ = minhash.linkable(frame, percent)
+        own = {r["node"]: (set(r["probe"]), set(r["index"])) for r in minhash.rarest(frame, common, frame.select("node"), percent).collect()}
+        linked = met = 0
+        for a, x in sets:
+            for b, y in sets:
+                if (len(x), a) <= (len(y), b):
+                    continue
+                meet = bool(own[a][0] & own[b][1])
+                met += meet
+                if alike(set(x), set(y), percent):
+                    linked += 1
+                    assert meet
+        assert 100 < linked <= met < 120 * 119 // 2
