@@ -5,6 +5,7 @@ Files of tokenizers are named by a path, read once in each Python worker.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -99,14 +100,15 @@ class WordEncoder:
     #: The pattern of word_bpe_49k.json.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
+    #: A byte that no UTF-8 holds; it stands for the end of a word.
+    END = b"\xff"
     #: str.split() takes these for white space, the vocabulary does not.
     ODD = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.words, self.pieces = Kept(self._word, KEPT_WORDS), Kept(self._piece)
-        letters = byte_letters()
-        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(33, 256)}
+        self.merges, self.ids = end_marked_merges(path, self.END)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -119,14 +121,35 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha() and len(word) < KEPT_ENTRY:  # one piece
-            return self.pieces[word.lower()]
+            return self._piece(word) if word.islower() else self.pieces[word.lower()]
         if self.PLAIN.fullmatch(word) and "<|" not in word and len(word) < KEPT_ENTRY:
             return b"".join(map(self.pieces.__getitem__, self.PATTERN.findall(word.lower())))
         return self._whole(word)
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
-        return packed(ids)
+        return packed([self.ids[rank] for rank in self.merges._encode_single_piece(piece.encode() + self.END)])
+
+
+def end_marked_merges(path: str, end: bytes):
+    """The merge model of a vocabulary with word ends, for bytes followed by ``end``; and the id of each of its ranks.
+
+    The end belongs to a word's last letter from the start, so joining these two ranks before all merges.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    mark, letters = model["end_of_word_suffix"], byte_letters()
+    byte = {letter: bytes([b]) for b, letter in letters.items()}
+    joined = [a + b for a, b in (p.split(" ") if isinstance(p, str) else p for p in model["merges"])]
+    own = [letter for b, letter in letters.items() if bytes([b]) != end]
+    names = [*own, *(letter + mark for letter in own), *joined]
+    raw = [b"".join(byte[c] for c in n.removesuffix(mark)) + (end if n.endswith(mark) else b"") for n in names]
+    ranks = {end: 0} | {r: 1 + i for i, r in enumerate(raw)}
+    if len(ranks) != len(raw) + 1:
+        raise ValueError("two merges make the same token")
+    ids = [0, *(model["vocab"][n] for n in names)]
+    return tiktoken.Encoding(path, pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=len(ranks)), ids
 
 
 @lru_cache(maxsize=2)
