@@ -788,7 +788,7 @@ def stream_combined(spark, folder):
     """The same through the stream: every batch meets the cache and encodes what is missing there."""
     cache = T.embedding_cache(spark, folder)
     pipeline = _combined_pipeline(spark, folder, cache)
-    stream, out = score_stream.document_stream(spark, folder, "documents.parquet"), scratch_path(spark, "scored")
+    stream, out = score_stream.document_stream(spark, T.arriving(folder, "documents")), scratch_path(spark, "scored")
     query = score_stream.score_stream(
         pipeline, stream, out, scratch_path(spark, "state"), once=True, cache=cache, encoder=score_rule.length_encoder, dim=64
     )
@@ -818,7 +818,7 @@ def evaluate_batch(spark, folder):
 
 def stream_score(spark, folder):
     """All documents through the stream; the SQL side sees which ones come out."""
-    stream = score_stream.document_stream(spark, folder, "documents.parquet")
+    stream = score_stream.document_stream(spark, T.arriving(folder, "documents"))
     out = scratch_path(spark, "scored")
     query = score_stream.score_stream(_text_pipeline(spark, folder), stream, out, scratch_path(spark, "state"), once=True)
     query.awaitTermination()
@@ -827,14 +827,14 @@ def stream_score(spark, folder):
 
 def stream_corrections(spark, folder):
     """The log of real moves from a stream of corrections."""
-    events = spark.readStream.schema(T.table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    events = T.table_stream(spark, folder, "events")
     out = scratch_path(spark, "moves")
     correction_stream(_as_corrections(events), _file_dirs(spark, folder), out, scratch_path(spark, "state"), once=True).awaitTermination()
     return spark.read.parquet(out)
 
 
 def stream_labels(spark, folder):
-    events = spark.readStream.schema(T.table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    events = T.table_stream(spark, folder, "events")
     decided = FB.valid_corrections(T.decisions(events).withColumn("record_id", F.col("event_id").cast("string")))[0]
     out = scratch_path(spark, "labels")
     label_stream.label_stream(decided, out, scratch_path(spark, "state"), once=True).awaitTermination()

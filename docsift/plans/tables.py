@@ -14,6 +14,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def arriving(folder: str, name: str) -> str:
+    """Where a stream finds a table, be it one file or a folder of files.
+
+    A pattern that only this name fits: a stream takes a path without one for a folder, and a file by its name is lost in
+    the folder above once the table is a folder itself.
+    """
+    return f"{folder.rstrip('/')}/{{{name}.parquet}}"
+
+
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(arriving(folder, name))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, filename, text``, fanned out for the cleaning."""
     docs = table(spark, folder, "documents").select("doc_id", "text")

@@ -12,6 +12,7 @@ from ..schemas import DOCUMENTS
 
 
 def document_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
+    """Documents of the files that arrive in ``folder``, which may be a pattern of folders or files itself."""
     return (
         spark.readStream.schema(DOCUMENTS)
         .option("pathGlobFilter", pattern)
