@@ -13,6 +13,8 @@ from ..session import materialize
 
 #: Whole documents go through numpy in slices of about this many bytes; one longer document is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: The same for hashed words, whose arrays take some forty times as much.
+WORD_BYTES = 1 << 20
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 _IS_WORD = np.ones(256, bool)

@@ -23,7 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, mix, slices, with_bytes
+from .common import WORD_BYTES, Words, mix, slices, with_bytes
+from .tokens import release
 
 SAMPLE_DOCS = 256
 
@@ -192,9 +193,10 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     """The rows of ``docs`` that pass every rule, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cascade = Cascade(rules)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, WORD_BYTES):
                 yield part.filter(pa.array(cascade.kept(part.column(text))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -41,7 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Phrases, Words, arrow_map, free, mix, signed, slices, stored, with_bytes
+from .common import WORD_BYTES, Phrases, Words, arrow_map, free, mix, signed, slices, stored, with_bytes
+from .tokens import release
 
 WINDOW = 50
 RUN = 8
@@ -91,7 +92,8 @@ def contexts(words: Words, window: int) -> tuple[np.ndarray, ...]:
 
 def occurrences(docs: DataFrame, window: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> Iterable[dict]:
-        for part in slices(batch):
+        release()
+        for part in slices(batch, limit=WORD_BYTES):
             doc, start, count, anchor, content = contexts(Words(part.column("text")), window)
             ids = part.column("doc_id").take(pa.array(doc))
             yield {"doc_id": ids, "start": start, "windows": count, "anchor": anchor, "content": content}
@@ -207,7 +209,7 @@ def _with_words(docs: DataFrame, references: DataFrame, window: int, shards: int
     joined = with_bytes(docs, "doc_id").join(wanted, F.col("doc_id") == F.col("first_id")).select("doc_id", "text", "wanted")
 
     def work(batch: pa.RecordBatch) -> Iterable[dict]:
-        for part in slices(batch):
+        for part in slices(batch, limit=WORD_BYTES):
             words = Words(part.column("text"))
             code, first = signed(words.code), words.first.tolist()
             phrases = Phrases(words.code)
@@ -393,7 +395,7 @@ def dedup_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """For each row ``doc_id, n_words, n_removed, kept_sha256`` (of the kept words joined by one space)."""
 
     def work(batch: pa.RecordBatch) -> Iterable[dict]:
-        for part in slices(batch):
+        for part in slices(batch, limit=WORD_BYTES):
             words = Words(part.column("text"))
             gone = _gone(words, part.column(part.num_columns - 1))
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
@@ -418,7 +420,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=WORD_BYTES):
                 words = Words(part.column("text"))
                 gone = _gone(words, part.column(part.num_columns - 1))
                 texts = part.column("text").to_pylist()

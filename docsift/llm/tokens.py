@@ -5,6 +5,7 @@ Files of tokenizers are named by a path, read once in each Python worker.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -156,3 +157,11 @@ def end_marked_merges(path: str, end: bytes):
 def word_encoder(path: str) -> WordEncoder:
     """One in each Python worker, so that tasks after the first find its words known."""
     return WordEncoder(path)
+
+
+def release() -> None:
+    """Give up the words that an earlier job's tasks left in this worker, for work that needs the memory for other arrays."""
+    if word_encoder.cache_info().currsize:
+        word_encoder.cache_clear()
+        load_tokenizer.cache_clear()
+        gc.collect()
