@@ -12,8 +12,8 @@
    shares most buckets with others, which is the original among its edited copies.
    A bucket whose nodes are connected is done. In the others the compared pivots are
    taken out and ``DRAW`` times as many are drawn, until no bucket holds two
-   components. From then on a pair is formed only if the rarest shingles of both meet, as those of linked sets
-   must: with the shingles of a set in order of their number in all sets, the larger set's first (1 - t) share
+   components. From then on a pair is formed in the first of its open buckets only, and only if the rarest shingles of both
+   meet, as those of linked sets must: with the shingles of a set in order of their number in all sets, the larger set's first (1 - t) share
    has one in common with the smaller set's first (1 - t) / (1 + t) share. Copies that have been edited
    each in its own way have rare shingles of their own and don't meet.
    So each pair in a bucket is compared, known to be connected, or known not to be linked.
@@ -37,8 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Phrases, Words, anti, arrow_map, mix, signed, slices, stored, with_bytes
+from .common import WORD_BYTES, Phrases, Words, anti, arrow_map, mix, signed, slices, stored, with_bytes
 from .components import components
+from .tokens import release
 
 SHINGLE = 5
 BANDS = 32
@@ -95,7 +96,8 @@ def fingerprints(docs: DataFrame, n_hashes: int, size: int = SHINGLE) -> DataFra
     """``doc_id, n_shingles, digest`` (of the set; null if empty), ``signature``."""
 
     def work(batch: pa.RecordBatch) -> Iterable[dict]:
-        for part in slices(batch):
+        release()
+        for part in slices(batch, limit=WORD_BYTES):
             sets = shingle_sets(part.column("text"), size)
             yield {
                 "doc_id": part.column("doc_id"),
@@ -146,7 +148,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """``node, set`` of the documents in ``ids``."""
 
     def work(batch: pa.RecordBatch) -> Iterable[dict]:
-        for part in slices(batch):
+        for part in slices(batch, limit=WORD_BYTES):
             sets = shingle_sets(part.column("text"), size)
             lengths = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             values = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
@@ -180,6 +182,20 @@ def rarest(sets: DataFrame, common: DataFrame, nodes: DataFrame, percent: int) -
     return listed.select("node", first(larger).alias("probe"), first(smaller).alias("index"))
 
 
+def drawn_pairs(open_: DataFrame, pivots: DataFrame, may_link, drawn) -> DataFrame:
+    """Pairs ``a, b`` of drawn nodes with the others of their open buckets, that may still be linked.
+
+    A pair that shares several of them is formed in the first one only, from ``keys``: where neither is drawn there, both stay, so
+    it is formed in a later draw. Two that are both drawn are formed by the smaller.
+    """
+    larger = (F.col("size") > F.col("its_size")) | ((F.col("size") == F.col("its_size")) & (F.col("node") > F.col("pivot")))
+    meet = F.when(larger, F.arrays_overlap("probe", "its_index")).otherwise(F.arrays_overlap("its_probe", "index"))
+    once = (~drawn | (F.col("node") > F.col("pivot"))) & (F.array_min(F.array_intersect("keys", "its_keys")) == F.col("key"))
+    apart = (F.col("node") != F.col("pivot")) & (F.col("component") != F.col("own"))
+    pairs = open_.join(pivots, "key").where(apart & may_link & once & meet)
+    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int, size: int = SHINGLE) -> DataFrame:
     """``node, component`` of the nodes that are linked with another. ``nodes`` has ``node, signature``."""
     buckets = stored(band_keys(nodes, bands, rows).distinct(), "buckets")
@@ -203,15 +219,15 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int
             pivots = open_.where(spread < DRAW**draw).select(
                 "key", F.col("node").alias("pivot"), F.col("component").alias("own"),
                 F.col("size").alias("its_size"), F.col("shared").alias("its_shared"),
-                F.col("probe").alias("its_probe"), F.col("index").alias("its_index"),
+                F.col("probe").alias("its_probe"), F.col("index").alias("its_index"), F.col("keys").alias("its_keys"),
             )
         pivots = stored(pivots, "pivots")
-        pairs = open_.join(pivots, "key").where((F.col("node") != F.col("pivot")) & may_link)
         if draw:
-            larger = (F.col("size") > F.col("its_size")) | ((F.col("size") == F.col("its_size")) & (F.col("node") > F.col("pivot")))
-            meet = F.when(larger, F.arrays_overlap("probe", "its_index")).otherwise(F.arrays_overlap("its_probe", "index"))
-            pairs = pairs.where((F.col("component") != F.col("own")) & meet)
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            pairs = drawn_pairs(open_, pivots, may_link, spread < DRAW**draw)
+        else:
+            pairs = open_.join(pivots, "key").where((F.col("node") != F.col("pivot")) & may_link)
+            pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -220,7 +236,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int
         new = stored(confirmed(near, sets, percent), "confirmed")
         found = new if found is None else found.union(new)
         labels = stored(components(found), "labels")
-        base = open_.drop("component", "n")
+        base = open_.drop("component", "n", "keys")
         taken = pivots.select("key", F.col("pivot").alias("node"))
         rest = base.join(taken, ["key", "node"], "left_anti").join(labels, "node", "left")
         rest = stored(rest.withColumn("component", F.coalesce("component", "node")), "rest")
@@ -229,6 +245,8 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int
         if split.isEmpty():
             return labels
         open_ = rest.join(split, "key")
+        own = open_.groupBy("node").agg(F.collect_list("key").alias("keys"))  # one a band at most
+        open_ = open_.join(own, "node")
         if not draw:
             open_ = open_.join(stored(rarest(sets, common, open_.select("node").distinct(), percent), "rarest"), "node")
         open_ = stored(open_, "open")

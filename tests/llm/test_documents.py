@@ -279,3 +279,29 @@ def test_rarest_shingles_of_linked_sets_meet(spark):
                     linked += 1
                     assert meet
         assert 100 < linked <= met < 120 * 119 // 2
+
+
+def test_a_pair_is_formed_in_one_bucket(spark):
+    """Ten nodes share four buckets: each pair that may be linked is formed once, in the first of them, not in each."""
+    members = [(key, node) for key in (1, 2, 3, 4) for node in range(10) if (key, node) != (1, 0)]
+    keys = {node: sorted(k for k, m in members if m == node) for node in range(10)}
+    rows = [(k, n, n, 10, 10, [7, n], [7, n], keys[n], len([1 for q, _ in members if q == k])) for k, n in members]
+    open_ = spark.createDataFrame(rows, "key long, node long, component long, size int, shared int, probe array<int>, index array<int>, keys array<long>, n int")
+    pivots = open_.select(
+        "key", F.col("node").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("its_size"), F.col("shared").alias("its_shared"),
+        F.col("probe").alias("its_probe"), F.col("index").alias("its_index"), F.col("keys").alias("its_keys"),
+    )
+    got = [(r.a, r.b) for r in minhash.drawn_pairs(open_, pivots, F.lit(True), F.lit(True)).collect()]
+    assert sorted(got) == [(a, b) for a in range(10) for b in range(a + 1, 10)]
+    few = pivots.where("pivot = 3")  # a draw of one node: its pairs, once each
+    got = [(r.a, r.b) for r in minhash.drawn_pairs(open_, few, F.lit(True), F.col("node") == 3).collect()]
+    assert sorted(got) == sorted((min(3, n), max(3, n)) for n in range(10) if n != 3)
+
+
+def test_words_of_an_earlier_job_are_given_up(spark):
+    from docsift.llm import tokens
+
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    tokens.word_encoder(path).encode("some words")
+    tokens.release()
+    assert tokens.word_encoder.cache_info().currsize == 0 and tokens.load_tokenizer.cache_info().currsize == 0
