@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from string import ascii_letters, ascii_lowercase, digits
 
 from pyspark.sql import Column
@@ -39,6 +41,15 @@ def _drop(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
+def _where(marks: tuple[str, ...], text: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` for texts that hold one of ``marks``, as each of its matches does; others need no search.
+
+    The lambda names the text, so that the steps before stand in the plan once.
+    """
+    held = lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(m)) for m in marks])
+    return F.transform(F.array(text), lambda t: F.when(held(t), step(t)).otherwise(t))[0]
+
+
 def _any_case(pattern: str, lowered: bool) -> str:
     """Case-insensitive form of a lower-case pattern.
 
@@ -61,20 +72,25 @@ def clean_text(text: Column | str, lowercase: bool = True, remove_special_chars:
     t = F.regexp_replace(t, UNEVEN_SPACE, " ")
     if lowercase:
         t = F.lower(t)
-    cut = _drop(t, "(?s)" + _any_case("(?=a)", lowercase) + START
-                + _any_case("authors? +contributions?", lowercase) + END + ".*")
+    rest = ("(?s)" + _any_case("(?=a)", lowercase) + START
+            + _any_case("authors? +contributions?", lowercase) + END + ".*")
     if lowercase:
-        t = cut
+        t = _where(("author",), t, lambda x: _drop(x, rest))
     else:
-        t = F.when(F.contains(t, F.lit("author")) & F.contains(t, F.lit("contribution")), cut).otherwise(t)
+        t = F.when(F.contains(t, F.lit("author")) & F.contains(t, F.lit("contribution")), _drop(t, rest)).otherwise(t)
     # Noise words and digit-letter tokens are disjoint whole words: one pass.
     words = _any_case(f"(?:{'|'.join(NOISE_WORDS)}|", lowercase) + DIGIT + "++" + _any_case("[a-z])", lowercase)
     t = _drop(t, START + words + END)
-    t = _drop(t, _any_case("(?=f)", lowercase) + START + _any_case("fig *", lowercase) + DIGIT + "++" + END)
-    t = _drop(t, _any_case("(?=t)", lowercase) + START + _any_case("table *", lowercase) + DIGIT + "++" + END)
-    t = _drop(t, rf"\[{DIGIT}++\]")
-    t = _drop(t, r"https?://[^ ]++")
-    t = _drop(t, r"(?<![^ ])[^ ][^ @]*+@[^ ]++")
+    fig = _any_case("(?=f)", lowercase) + START + _any_case("fig *", lowercase) + DIGIT + "++" + END
+    table = _any_case("(?=t)", lowercase) + START + _any_case("table *", lowercase) + DIGIT + "++" + END
+    if lowercase:
+        t = _where(("fig", "fıg"), t, lambda x: _drop(x, fig))
+        t = _where(("table",), t, lambda x: _drop(x, table))
+    else:  # too many spellings to name
+        t = _drop(_drop(t, fig), table)
+    t = _where(("[",), t, lambda x: _drop(x, rf"\[{DIGIT}++\]"))
+    t = _where(("://",), t, lambda x: _drop(x, r"https?://[^ ]++"))
+    t = _where(("@",), t, lambda x: _drop(x, r"(?<![^ ])[^ ][^ @]*+@[^ ]++"))
     t = _drop(t, rf"(?={DIGIT}){START}{DIGIT}++{END}(?!\.{DIGIT})")
     if not remove_special_chars:
         separators = "  +"

@@ -106,3 +106,13 @@ def test_other_filters_and_pruning_pass_the_cleaning(spark, tmp_path):
     kept = clean_documents(spark.read.parquet(path)).filter("doc_id = 5").select("doc_id")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,5)" in plan and "ReadSchema: struct<doc_id:bigint>" in plan
+
+
+def test_steps_without_their_marks(spark):
+    """Texts without the marks of a step are left as they are; every spelling of a match has one."""
+    texts = ["FİG 3 fıg 12 fig7 table 4 x", "tables 4 [12] [x] a[3]", "a@b c http://x.y/z d https://q", "no marks at all 5a 77",
+             "ok Author contributions: all", "authorſ contrıbutıonſ gone", "@ [ :// author fig table", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.c for r in docs.select("i", clean_text("t").alias("c")).orderBy("i").collect()]
+    assert got[2:] == ["c d", "no marks at all", "ok", "", "author fig table", "", ""]
+    assert got[1].split() == ["tables", "x", "a"] and "12" not in got[0] and "table" not in got[0] and got[0].endswith("x")
