@@ -153,6 +153,15 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+#: Ids go to all executors for a join if there are no more than these (16 MB); else both sides are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` as a side of a join, sent to all executors up to ``limit`` rows, so that the other side stays where it is."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def anti(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose key is not in ``gone``; null keys stay."""
     return docs.join(gone.select(key), key, "left_anti")

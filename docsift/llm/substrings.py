@@ -9,9 +9,9 @@ that share an anchor occurrence, and equal windows always lie in contexts with e
 anchors. So the windows of a context need only be sought among the contexts of the
 same anchor:
 
-1. Equal contexts are one reference, with the smallest id they occur in. An anchor
-   that occurs in one document only is done with. So are a reference's own later
-   copies: all their windows are in the first.
+1. An anchor that occurs in one document only is done with, before anything else of its
+   contexts is moved. Equal contexts are one reference, with the smallest id they occur in.
+   A reference's own later copies are done with too: all their windows are in the first.
 2. References are dealt to shards by anchor. A shard builds the suffix automaton of
    its references in the order of their ids; before a document's references are
    added, they are streamed through it, and where the matching statistic reaches
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, Phrases, Words, arrow_map, free, mix, signed, slices, stored, with_bytes
+from .common import WORD_BYTES, Phrases, Words, arrow_map, free, mix, signed, slices, small, stored, with_bytes
 from .tokens import release
 
 WINDOW = 50
@@ -232,9 +232,9 @@ def _with_words(docs: DataFrame, references: DataFrame, window: int, shards: int
 
 def _spans_of(references: DataFrame, window: int, cut_again: bool = True) -> DataFrame:
     """``anchor, content, spans`` of references (``shard, first_id, anchor, content, words``) with windows in a smaller document."""
-    counts = stored(references.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    usual, hot = (counts.where(c).select("anchor") for c in (F.col("n") <= HOT, F.col("n") > HOT))
-    spans = _in_shards(references.join(usual, "anchor", "left_semi"), window)
+    counts = references.groupBy("anchor").agg(F.count("*").alias("n"))
+    hot = F.broadcast(stored(counts.where(F.col("n") > HOT).select("anchor"), "hot"))  # fewer than a HOTth of the references
+    spans = _in_shards(references.join(hot, "anchor", "left_anti"), window)
     if hot.isEmpty():
         return spans
     rest = references.join(hot, "anchor", "left_semi")
@@ -333,14 +333,16 @@ def _singly(references: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, spans``: words to remove, as [begin, stop) in each document that has any. Spans may overlap."""
     found = stored(occurrences(docs, window), "occurrences")
+    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    shared = stored(shared.select("anchor"), "anchors")
+    found = stored(found.join(small(shared, BROADCAST_ENTRIES), "anchor", "left_semi"), "repeated")
     by = found.groupBy("anchor", "content").agg(
         F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"),
         F.min_by("start", "doc_id").alias("start"), F.first("windows").alias("windows"),
     )
     by = stored(by, "contexts")
-    shared = by.groupBy("anchor").agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi"), F.count("*").alias("n"))
-    shared = stored(shared.where("lo < hi").select("anchor", "n"), "anchors")
-    by = stored(by.join(shared, "anchor"), "shared")
+    counts = stored(by.groupBy("anchor").agg(F.count("*").alias("n")), "counts")
+    by = stored(by.join(small(counts, BROADCAST_ENTRIES), "anchor"), "shared")
     shards = _shards(by, window)
     references = stored(_with_words(docs, by.where("n > 1"), window, shards), "references")
     spans = stored(_spans_of(references, window), "spans")
