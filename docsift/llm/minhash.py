@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, Phrases, Words, anti, arrow_map, mix, signed, slices, stored, with_bytes
+from .common import BROADCAST_IDS, WORD_BYTES, Phrases, Words, anti, arrow_map, mix, signed, slices, small, stored, with_bytes
 from .components import components
 from .tokens import release
 
@@ -45,8 +45,6 @@ SHINGLE = 5
 BANDS = 32
 MISS = 1e-7
 DRAW = 256
-#: Ids of documents that are compared go to all executors if there are no more than these (16 MB); else they are joined.
-BROADCAST_IDS = 2_000_000
 
 
 def rows_per_band(percent: int, bands: int = BANDS, miss: float = MISS) -> int:
@@ -138,12 +136,19 @@ def agreeing(pairs: DataFrame, marks: DataFrame, n_hashes: int, percent: int) ->
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` whose full sets reach the similarity."""
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    own = held(sets, ends)
+    both = pairs.join(own.toDF("a", "set_a"), "a").join(own.toDF("b", "set_b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     both = both.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sum"))
     return both.where(F.col("shared") * 100 >= percent * (F.col("sum") - F.col("shared"))).select("a", "b").distinct()
 
 
+def held(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``node`` is in ``ids``. Signatures and sets are heavy, so they are not shuffled for what is not compared."""
+    return rows.join(small(ids.select("node"), BROADCAST_IDS), "node", "left_semi")
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """``node, set`` of the documents in ``ids``."""
 
@@ -154,8 +159,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             values = signed(np.concatenate(sets)) if sets else np.zeros(0, np.int64)
             yield {"node": part.column("doc_id"), "set": pa.ListArray.from_arrays(pa.array(lengths), pa.array(values))}
 
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    chosen = with_bytes(docs, "doc_id").join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
+    chosen = with_bytes(docs, "doc_id").join(small(ids, BROADCAST_IDS), F.col("doc_id") == F.col("node"), "left_semi")
     return arrow_map(chosen, work, "node long, set array<long>")
 
 
@@ -173,7 +177,7 @@ def rarest(sets: DataFrame, common: DataFrame, nodes: DataFrame, percent: int) -
     Linked sets have ``percent / 100`` of the larger and ``2 * percent / (100 + percent)`` of the smaller in common at least; so
     some common shingle comes before the rest of either. The upper halves of hashes stand for shingles here: equal ones still meet.
     """
-    own = sets.join(nodes, "node", "left_semi").select("node", F.explode("set").alias("shingle")).join(common, "shingle", "left")
+    own = held(sets, nodes).select("node", F.explode("set").alias("shingle")).join(common, "shingle", "left")
     own = own.select("node", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle").alias("e"))
     listed = own.groupBy("node").agg(F.array_sort(F.collect_list("e")).alias("s"))
     size = F.size("s")
@@ -198,14 +202,14 @@ def drawn_pairs(open_: DataFrame, pivots: DataFrame, may_link, drawn) -> DataFra
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int, size: int = SHINGLE) -> DataFrame:
     """``node, component`` of the nodes that are linked with another. ``nodes`` has ``node, signature``."""
-    buckets = stored(band_keys(nodes, bands, rows).distinct(), "buckets")
+    buckets = stored(band_keys(nodes, bands, rows), "buckets")
     sizes = stored(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    members = stored(buckets.join(sizes, "key"), "members")
+    members = stored(buckets.join(small(sizes, BROADCAST_IDS), "key").distinct(), "members")
     ids = stored(members.groupBy("node").agg(F.sum("n").alias("meets")), "meets")
     sets = stored(full_sets(docs, ids.select("node"), size), "sets")
-    marks = nodes.select("node", "signature")
     common, able = linkable(sets, percent)
     able = stored(able, "linkable")
+    marks = stored(held(nodes.select("node", "signature"), able), "marks")
     open_ = stored(members.select("node", "key").join(ids.join(able, "node"), "node"), "open")
     # |a and b| is at most what either shares with anyone, and a link takes (100 + percent) |a and b| >= percent (|a| + |b|)
     may_link = F.least("shared", "its_shared") * (100 + percent) >= (F.col("size") + F.col("its_size")) * percent
@@ -248,7 +252,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int
         own = open_.groupBy("node").agg(F.collect_list("key").alias("keys"))  # one a band at most
         open_ = open_.join(own, "node")
         if not draw:
-            open_ = open_.join(stored(rarest(sets, common, open_.select("node").distinct(), percent), "rarest"), "node")
+            open_ = open_.join(stored(rarest(sets, common, stored(open_.select("node").distinct(), "apart"), percent), "rarest"), "node")
         open_ = stored(open_, "open")
         draw += 1
 
@@ -272,7 +276,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, size
 def deduplicated(docs: DataFrame, percent: int = 80, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest doc_id; of repeated rows one."""
     verdicts = stored(near_duplicates(docs, percent, bands, size), "verdicts")
-    out = anti(docs, verdicts.where("not kept").select("doc_id").distinct())
+    gone = stored(verdicts.where("not kept").select("doc_id").distinct(), "gone")
+    out = anti(docs, small(gone, BROADCAST_IDS))
     repeated = verdicts.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
         return out

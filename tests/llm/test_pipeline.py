@@ -137,6 +137,39 @@ def test_joins_take_the_place_of_broadcasts(spark, corpus, frame, monkeypatch):
     assert sorted(map(tuple, substrings.dedup_report(frame).collect()), key=repr) == cut
 
 
+def test_only_what_is_compared_is_shuffled(spark, monkeypatch):
+    """Texts, signatures and sets of documents without a partner, and contexts of anchors in one document, stay where they are."""
+    rng = np.random.default_rng(31)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    template, passage = text(150), text(70)
+    rows = [(i, text(120)) for i in range(60)] + [(i, f"{template} {text(3)}") for i in range(60, 66)]
+    rows += [(i, f"{text(60)} {passage} {text(60)}") for i in range(66, 70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tables = {}
+
+    def watched(module):
+        def put(df, name, coalesce=True, plain=module.stored):
+            tables.setdefault(name, []).append(out := plain(df, name, coalesce))
+            return out
+
+        monkeypatch.setattr(module, "stored", put)
+
+    watched(minhash)
+    watched(substrings)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = minhash.deduplicated(frame)
+        assert sorted(r["doc_id"] for r in out.collect()) == [*range(61), *range(66, 70)]
+        assert "Exchange hashpartitioning(doc_id" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r["node"] for r in tables["marks"][0].collect()} == set(range(60, 66)) and tables["nodes"][0].count() == 70
+        tables.clear()
+        spans = {r["doc_id"] for r in substrings.repeated_spans(frame).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spans == {*range(61, 66), *range(67, 70)}
+    assert tables["contexts"][0].where("first_id < 60").isEmpty() and not tables["occurrences"][0].where("doc_id < 60").isEmpty()
+
+
 def test_free_names():
     assert free("_of", ["a"]) == "_of" and free("_of", ["_OF", "__of"]) == "___of"
 
