@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import batch_map, slices, stored
 from .tokens import tokenizer_path, word_encoder
 
 CAPACITY = 2048
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         seen = [0] * (capacity + 1)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for doc_id, text, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ids = encoder.encode(text or "") + end
@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
                 names=[c.split()[0] for c in schema.split(", ")],
             )
 
-    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, schema)
+    return batch_map(docs.select("doc_id", "text", F.spark_partition_id().alias("part")), run, schema)
 
 
 def configurations(sizes: np.ndarray, wanted: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
@@ -247,7 +247,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             columns += [pa.array(sequence[i] + ahead // per[i]), pa.array(offset[i] + ahead % per[i] * length)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "sequence_id", "offset"])
 
-    return ranked.select(*kept, "rank").mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return batch_map(ranked.select(*kept, "rank"), run, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD_BYTES, Words, mix, slices, with_bytes
+from .common import WORD_BYTES, Words, batch_map, mix, slices, with_bytes
 from .tokens import release
 
 SAMPLE_DOCS = 256
@@ -199,7 +199,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
             for part in slices(batch, text, WORD_BYTES):
                 yield part.filter(pa.array(cascade.kept(part.column(text))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batch_map(docs, run, docs.schema)
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, Phrases, Words, arrow_map, free, mix, signed, slices, small, stored, with_bytes
+from .common import WORD_BYTES, Phrases, Words, arrow_map, batch_map, free, mix, signed, slices, small, stored, with_bytes
 from .tokens import release
 
 WINDOW = 50
@@ -437,4 +437,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 columns = {c: part.column(c) for c in others} | {"text": pa.array(texts, pa.string())}
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    return marked.mapInArrow(run, docs.schema)
+    return batch_map(marked, run, docs.schema)

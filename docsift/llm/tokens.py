@@ -17,6 +17,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .common import trim
+
 #: Bytes of words and their results that one cache of a worker keeps in each of its two generations.
 KEPT_BYTES = 24 << 20
 #: The same for the words of a vocabulary that drops white space.
@@ -160,8 +162,9 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def release() -> None:
-    """Give up the words that an earlier job's tasks left in this worker, for work that needs the memory for other arrays."""
+    """Give up the words that an earlier job's tasks left in this worker, and their memory, for work that needs it for other arrays."""
     if word_encoder.cache_info().currsize:
         word_encoder.cache_clear()
         load_tokenizer.cache_clear()
         gc.collect()
+        trim()

@@ -305,3 +305,40 @@ def test_words_of_an_earlier_job_are_given_up(spark):
     tokens.word_encoder(path).encode("some words")
     tokens.release()
     assert tokens.word_encoder.cache_info().currsize == 0 and tokens.load_tokenizer.cache_info().currsize == 0
+
+
+_TASK = """
+import numpy as np
+import pyarrow as pa
+from docsift.llm import quality
+
+class Frame:
+    schema = None
+    mapInArrow = staticmethod(lambda run, schema: run)
+
+def held():
+    return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) >> 10
+
+def hungry(facts):
+    arrays = [np.ones(1024) for _ in range(10_000)]
+    kept.append(bytearray(9000))  # lies behind them
+    return np.zeros(len(facts.texts), bool)
+
+run = quality.keep_good(Frame, (quality.Rule("hungry", hungry),))
+batch = pa.RecordBatch.from_pydict({"text": ["some words"] * 5})
+before, kept = held(), []
+assert sum(b.num_rows for b in run(iter([batch]))) == 5
+print(held() - before)
+"""
+
+
+def test_tasks_give_back_the_memory_that_they_have_freed():
+    """80 MB that a task has freed are not kept by a worker that waits for the next one."""
+    import ctypes
+    import subprocess
+    import sys
+
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("only glibc can be asked for it")
+    done = subprocess.run([sys.executable, "-c", _TASK], capture_output=True, text=True, check=True)
+    assert int(done.stdout) < 16, done.stdout
