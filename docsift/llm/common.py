@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,6 +168,61 @@ class Phrases:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+class Lookup:
+    """Numbers from 0 on by distinct 64-bit keys, for whole arrays of keys.
+
+    A key stands at the first free place from where its hash points, in a table of four to eight times their number.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            new = self.values[at] < 0
+            self.values[at[new]], self.keys[at[new]] = values[left[new]], keys[left[new]]
+            other = self.keys[at] != keys[left]
+            left, at = left[other], (at[other] + 1) & self.last
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _WORD_BASE) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; -1 for those that are not there."""
+        at = self._home(keys)
+        value = self.values.take(at)
+        other = self.keys.take(at) != keys
+        left = np.flatnonzero(other & (value >= 0))
+        value[other] = -1
+        while len(left):
+            at[left] = near = (at[left] + 1) & self.last
+            found = self.values[near]
+            same = self.keys[near] == keys[left]
+            value[left[same]] = found[same]
+            left = left[~same & (found >= 0)]
+        return value
+
+
+def byte_phrases(data: bytes) -> Phrases:
+    """Hashes of any run of bytes."""
+    return Phrases(_BYTE_CODE[np.frombuffer(data, np.uint8)])
+
+
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many as its length, one after the other."""
+    end = np.cumsum(length)
+    return np.repeat(start - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)
+
+
+def spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What texts (none of them null) have between their spaces: distinct parts, the number of the part at each place, and where a text's places begin."""
+    parts = pc.split_pattern(texts, " ")
+    coded = parts.flatten().dictionary_encode()
+    first = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)))
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), first
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

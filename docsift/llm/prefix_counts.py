@@ -7,8 +7,9 @@ begins, plus that token; there is one token for which the pair with the last tok
 before is such a pair. This gives ``count[i] = count[i - len(token)] + 1`` for every i in
 one pass, and the count of the whole is that of its last prefix.
 
-The pre-tokens of a text are independent, and each distinct one is done once in a
-worker. New ones are taken in alphabetical order, so each goes on from the prefix it shares with the one before. A document keeps the difference of the count at each character to the one
+The pre-tokens of a text are independent, and each distinct one is done once in a slice of
+documents: all of a slice together, prefixes of one byte first, then of two, and so on, and a prefix
+that several of them share once. Tokens are found by a 64-bit hash of their bytes. A document keeps the difference of the count at each character to the one
 before as a signed 32-bit number, so a cumulative sum answers: how many tokens has
 the prefix of n characters, and where to cut for a budget of tokens, with no further
 encoding.
@@ -29,18 +30,17 @@ from operator import sub
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, slices, with_bytes
+from .common import Lookup, arrow_map, byte_phrases, ranges, slices, spaced, with_bytes
 from .tokens import Kept, byte_letters, load_tokenizer
 
 #: Pairs of tokens whose compatibility a worker keeps; beyond that it starts anew.
 KEPT_PAIRS = 500_000
-#: Bytes of chunks and of pre-tokens that a worker keeps, in each of two generations.
-KEPT_CHUNKS, KEPT_PRE_TOKENS = 96 << 20, 48 << 20
-#: Longer chunks are not learnt beforehand.
-PREPARED = 128
+#: Pre-tokens of more bytes are done one by one.
+TOGETHER = 40
 
 
 class PrefixCounter:
@@ -58,6 +58,9 @@ class PrefixCounter:
     RUN = re.compile(f"[{SPACE}]{{2,}}(?=[^{SPACE}])")
     #: Cut by one character they are two pre-tokens.
     CONTRACTIONS = ("'re", "'ve", "'ll")
+    WHITE = re.compile(f"[{SPACE}]")
+    #: A chunk that may hold a run, or a part of one.
+    NEAR_RUN = re.compile(f"[{SPACE}](?:[{SPACE}]|$)")
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -80,8 +83,25 @@ class PrefixCounter:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.pre_tokens = Kept(self._pre_token, KEPT_PRE_TOKENS)
-        self.chunks = Kept(self._chunk, KEPT_CHUNKS)
+        self.pre_tokens = Kept(self._pre_token)
+        self.chunks = Kept(self._chunk)
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """The vocabulary for whole arrays of tokens."""
+        sizes = np.array([len(t) for t in self.token], np.int64)
+        ends, ids = np.cumsum(sizes), np.array(list(self.token.values()), np.int64)
+        self.by_hash = Lookup(byte_phrases(b"".join(self.token)).of(ends - sizes, ends), ids)
+        self.ranks = np.full(max([*ids.tolist(), *self.rank], default=-1) + 1, -1, np.int64)
+        self.ranks[list(self.rank)] = list(self.rank.values())
+        self.left, self.right = np.zeros((2, len(self.ranks)), np.int64)
+        if self.parts:
+            self.left[list(self.parts)], self.right[list(self.parts)] = np.array(list(self.parts.values()), np.int64).T
+        pairs = np.array(list(self.merge), np.uint64).reshape(-1, 2)
+        self.across = Lookup(pairs[:, 0] << np.uint64(32) | pairs[:, 1], np.array([r for r, _ in self.merge.values()], np.int64))
+        self.sound = np.ones(len(self.ranks), bool)
+        made = np.array(list(self.parts), np.int64)
+        self.sound[made] = self.stay_pairs(self.left[made], self.right[made], self.ranks[made])
 
     def stays_pair(self, left: int, right: int) -> bool:
         """Whether the encoder leaves these two tokens side by side.
@@ -96,18 +116,13 @@ class PrefixCounter:
         return ok
 
     def prefix(self, text: bytes) -> list[int]:
-        """Tokens of each prefix of a pre-token, by its length in bytes, from 0."""
-        count, last, begin = [0], [-1], [0]
-        self.extend(text, count, last, begin)
-        return count
-
-    def extend(self, text: bytes, count: list[int], last: list[int], begin: list[int]) -> None:
-        """Goes on from the prefixes that are known: their counts, and the last token of each with its begin.
+        """Tokens of each prefix of a pre-token, by its length in bytes, from 0.
 
-        Exactly one begin is right, so they may be tried in any order: often the last token grows, or a new one starts.
+        Exactly one begin of the last token is right, so they may be tried in any order: often the last token grows, or a new one starts.
         """
-        get, longest, pairs, alone = self.token.get, self.longest, self.pairs, self.alone
-        for end in range(len(count), len(text) + 1):
+        count, last, begin = [0], [-1], [0]
+        get, longest, pairs = self.token.get, self.longest, self.pairs
+        for end in range(1, len(text) + 1):
             grown = begin[end - 1]
             for start in (grown, end - 1, *range(max(0, end - longest), end - 1)):
                 own = get(text[start:end])
@@ -118,38 +133,68 @@ class PrefixCounter:
                     if good is None:
                         good = self.stays_pair(last[start], own)
                 else:
-                    good = alone.get(own)
-                    if good is None:
-                        good = self.whole(own)
+                    good = self.whole(own)
                 if good:
                     count.append(count[start] + 1)
                     last.append(own)
                     begin.append(start)
                     break
+        return count
 
-    def prepare(self, texts: list[str]) -> None:
-        """Learns the new pre-tokens of some texts in order, so that each goes on where it parts from the one before."""
-        known, older, new = self.chunks, self.chunks.older, set()
-        for word in set(" ".join(texts).split(" ")):
-            chunk = " " + word
-            if len(chunk) <= PREPARED and chunk not in known and chunk not in older:
-                if word.isascii() and word.isalpha():
-                    new.add(chunk)
+    def changes(self, texts: list[bytes]) -> np.ndarray:
+        """What ``prefix`` says of sorted pre-tokens, as the change of the count at each byte of all of them, one after the other."""
+        size = np.array([len(t) for t in texts], np.int64)
+        data = b"".join(texts)
+        letters, runs, first = np.frombuffer(data, np.uint8), byte_phrases(data), np.cumsum(size) - size
+        most = int(size.max(initial=0))
+        prefix = np.zeros((most + 1, len(texts)), np.int64)  # the number of each text's prefix of a length; 0 is the empty one
+        count, last, begin = np.zeros((3, len(data) + 1), np.int64)
+        made, who = 1, np.arange(len(texts))
+        for end in range(1, most + 1):
+            who = who[size[who] >= end]
+            before, letter = prefix[end - 1, who], letters[first[who] + end - 1]
+            new = np.ones(len(who), bool)  # in order, texts with the same prefix are neighbours
+            new[1:] = (before[1:] != before[:-1]) | (letter[1:] != letter[:-1])
+            prefix[end, who] = made - 1 + np.cumsum(new)
+            own, grown = who[new], begin[before[new]]
+            left = np.arange(len(own))
+            for tried in range(3):
+                if tried < 2:
+                    which, start = left, np.full(len(left), end - 1) if tried else grown
                 else:
-                    new.update(self.PATTERN.findall(chunk))
-        known, older = self.pre_tokens, self.pre_tokens.older
-        count, last, begin, before = [0], [-1], [0], b""
-        for raw in sorted(p.encode() for p in new if p not in known and p not in older):
-            same = 0
-            for x, y in zip(before, raw):
-                if x != y:
+                    which, start = np.repeat(left, end - 1), np.tile(np.arange(end - 1), len(left))
+                at = first[own[which]]
+                token = self.by_hash.get(runs.of(at + start, at + end))
+                known = token >= 0
+                which, start, token = which[known], start[known], token[known]
+                head = prefix[start, own[which]]
+                good = self.sound[token]
+                inner = np.flatnonzero(start)
+                good[inner] = self.stay_pairs(last[head[inner]], token[inner], np.full(len(inner), len(self.merge)))
+                right = made + which[good]
+                count[right], last[right], begin[right] = count[head[good]] + 1, token[good], start[good]
+                left = left[count[made + left] == 0]
+                if not len(left):
                     break
-                same += 1
-            del count[same + 1 :], last[same + 1 :], begin[same + 1 :]
-            self.extend(raw, count, last, begin)
-            before = raw
-            piece = raw.decode()
-            known.keep(piece, self._changes(piece, raw, count))
+            made += len(own)
+        text = np.repeat(np.arange(len(texts)), size)
+        length = np.arange(len(data)) - first[text]
+        return count[prefix[length + 1, text]] - count[prefix[length, text]]
+
+    def stay_pairs(self, left: np.ndarray, right: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """``stays_pair_under`` of whole arrays."""
+        out, at = np.ones(len(left), bool), np.arange(len(left))
+        while len(at):
+            across = self.across.get(left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64))
+            merged = (across >= 0) & (across < before)
+            out[at[merged]] = False
+            a, b = self.ranks[left], self.ranks[right]
+            on = np.flatnonzero(~merged & ((a >= 0) | (b >= 0)))
+            at, a, b, left, right = at[on], a[on], b[on], left[on], right[on]
+            first = a > b
+            before = np.where(first, a, b + 1)
+            left, right = np.where(first, self.right[left], left), np.where(first, right, self.left[right])
+        return out
 
     def whole(self, token: int) -> bool:
         """Whether the encoder makes this token of its own bytes."""
@@ -194,7 +239,7 @@ class PrefixCounter:
         for special in self.special:
             if special in text:
                 parts = [q for p in parts for q in (re.split(f"({re.escape(special)})", p) if p not in self.special else [p])]
-        if len(parts) == 1:
+        if parts == [text] and text not in self.special:
             return self._plain(text)
         out, before = [], ""
         for part in parts:
@@ -212,12 +257,10 @@ class PrefixCounter:
         """The same for a text in which no special string is looked for."""
         if not text:
             return np.zeros(0, "<i4")
-        if text[-1] == " " or self.WIDE.search(text):
-            parts = self.CHUNK.split(text)
-        else:  # every space begins a chunk
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + p for p in rest]]
-        out = np.frombuffer(b"".join(map(self.chunks.__getitem__, parts)), "<i4")
+        return self._with_runs(text, np.frombuffer(b"".join(map(self.chunks.__getitem__, self.CHUNK.split(text))), "<i4"))
+
+    def _with_runs(self, text: str, out: np.ndarray) -> np.ndarray:
+        """A prefix that ends inside a run of white space has the run's own tokens up to there."""
         for i, run in enumerate(self.RUN.finditer(text)):
             out = out if i else out.copy()
             end = run.end() - 1
@@ -227,6 +270,70 @@ class PrefixCounter:
             out[end + 1] -= more
         return out
 
+    def steps_of(self, texts: list[str]) -> list[np.ndarray]:
+        """``steps`` of each of some texts, whose pre-tokens are done together."""
+        out = [None if t and not any(s in t for s in self.special) else self.steps(t) for t in texts]
+        plain = [i for i, steps in enumerate(out) if steps is None]
+        if not plain:
+            return out
+        pieces, n, number, near, place, first = self._cut([texts[i] for i in plain])
+        values, start, length = self._table(number)
+        values = values[ranges(start[pieces], length[pieces])]
+        ends = np.concatenate([[0], np.cumsum(length[pieces])])[np.cumsum(n)]
+        length = np.diff(ends, prepend=0)
+        values = values[ranges((ends - length)[place], length[place])]
+        cuts = np.concatenate([[0], np.cumsum(length[place])])[first].tolist()
+        runs = np.add.reduceat(near[place], first[:-1], dtype=np.int64).tolist()
+        for i, a, b, some in zip(plain, cuts, cuts[1:], runs):
+            out[i] = self._with_runs(texts[i], values[a:b]) if some else values[a:b]
+        return out
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the pre-tokens of all distinct chunks, how many each chunk has, these numbers, whether a chunk is near a run,
+        the chunk at each place, and where a text's places begin."""
+        words, place, first = spaced(pa.array(texts, pa.string()))
+        heads = place[first[:-1]]
+        place[first[:-1]] = len(words) + np.arange(len(texts))  # a text's first chunk has no space before it
+        plain = pc.ascii_is_alpha(words).to_numpy(zero_copy_only=False)
+        spelt = words.filter(pa.array(~plain)).to_pylist()
+        number = {" " + w: i for i, w in enumerate(words.filter(pa.array(plain)).to_pylist())}
+        wide = np.zeros(len(words) + len(texts), bool)
+        wide[np.flatnonzero(~plain)] = [not w or bool(self.WHITE.match(w)) for w in spelt]
+        others = [" " + w for w in spelt] + words.take(pa.array(heads)).to_pylist()
+        odd = np.flatnonzero(np.add.reduceat(wide[place], first[:-1], dtype=np.int64)).tolist()
+        if odd:  # not every space of these begins a chunk
+            places, more = np.split(place, first[1:-1]), {}
+            for i in odd:
+                places[i] = np.array([more.setdefault(c, len(wide) + len(more)) for c in self.CHUNK.split(texts[i])], np.int64)
+            others += more
+            place, first = np.concatenate(places), np.append(0, np.cumsum([len(p) for p in places]))
+        known = np.append(plain, np.zeros(len(words) + len(others) - len(spelt) - len(plain), bool))
+        n, near = np.ones(len(known), np.int64), np.zeros(len(known), bool)
+        near[~known] = [bool(self.NEAR_RUN.search(c)) for c in others]
+        cut = list(map(self.PATTERN.findall, others))
+        n[~known] = list(map(len, cut))
+        pieces, own = np.zeros(int(n.sum()), np.int64), np.repeat(known, n)
+        pieces[own] = np.arange(len(number))
+        pieces[~own] = [number.setdefault(p, len(number)) for c in cut for p in c]
+        return pieces, n, number, near, place, first
+
+    def _table(self, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Changes at the characters of all numbered pre-tokens, and where each one's begin, and how many they are."""
+        pieces = list(number)
+        raw = [p.encode() for p in pieces]
+        order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+        together = np.array(list(map(len, raw)), np.int64) <= TOGETHER
+        together[[number[c] for c in self.CONTRACTIONS if c in number]] = False
+        order, apart = order[together[order]], np.flatnonzero(~together)
+        texts = list(map(raw.__getitem__, order.tolist()))
+        begins = np.flatnonzero(np.frombuffer(b"".join(texts), np.uint8) & 0xC0 != 0x80)
+        values = np.add.reduceat(self.changes(texts), begins) if texts else np.zeros(0, np.int64)
+        length = np.array(list(map(len, pieces)), np.int64)
+        start, order = np.zeros(len(pieces), np.int64), np.append(order, apart)
+        start[order] = np.cumsum(length[order]) - length[order]
+        own = [np.frombuffer(self._pre_token(pieces[i]), "<i4") for i in apart.tolist()]
+        return np.concatenate([values.astype("<i4"), *own]), start, length
+
 
 @lru_cache(maxsize=2)
 def prefix_counter(path: str) -> PrefixCounter:
@@ -257,8 +364,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, keep_steps: bool
         counter = prefix_counter(path)
         for rows in slices(batch):
             part = [t.decode() if t else "" for t in rows.column("text").to_pylist()]
-            counter.prepare(part)
-            steps = [counter.steps(t) for t in part]
+            steps = counter.steps_of(part)
             n = [int(s.sum()) for s in steps]
             fits = [len(t) if k <= limit else fitting_prefix(s.tobytes(), limit) for t, s, k in zip(part, steps, n)]
             columns = {"doc_id": rows.column("doc_id"), "n_bytes": [len(t.encode()) for t in part]}

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docsift.llm import coder, lattice, packing, prefix_counts, token_files
+from docsift.llm import coder, common, lattice, packing, prefix_counts, token_files
 from docsift.llm.tokens import WordEncoder, load_tokenizer, tokenizer_path
 
 ALPHABET = list("aA éÉßµªº²½'sTré\x1c\x85\xa0 \u0301\u2003é Ω漢İſΑΣ  \t\n12 ...\ufb01\xad\u212b") + ["<|endoftext|>", "'ll ", "don't", "the ", "ing "]
@@ -37,6 +37,26 @@ def test_every_prefix_has_its_exact_count():
             assert fits == max([i + 1 for i in range(len(text)) if count[i] <= 5], default=0)
 
 
+def test_pre_tokens_of_many_texts_are_counted_together():
+    path = tokenizer_path("byte_bpe_50k.json")
+    counter, library = prefix_counts.PrefixCounter(path), load_tokenizer(path)
+    texts = strings(1500, 9) + ["<|endoftext|>", "<|endoftext|><|endoftext|>", "a  b\n\n c ", "\n a", " ", "", "don't we've  we'll 're", "é" * 19 + "z" * 3, "漢" * 14]
+    found = counter.steps_of(texts)
+    for text, steps in zip(texts, found):
+        assert len(steps) == len(text) and (steps == counter.steps(text)).all(), repr(text)
+        assert steps.sum() == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    raw = sorted({p.encode() for t in strings(800, 10) for p in counter.PATTERN.findall(t[:60])})
+    assert counter.changes(raw).tolist() == [n for t in raw for n in np.diff(counter.prefix(t)).tolist()]
+    assert counter.changes([]).tolist() == [] and counter.steps_of([]) == []
+
+
+def test_lookup_of_keys_that_share_a_place():
+    keys = np.concatenate([np.arange(3000, dtype=np.uint64), np.uint64(2**63) + np.arange(3000, dtype=np.uint64)])
+    found = common.Lookup(keys, np.arange(6000))
+    assert (found.get(keys) == np.arange(6000)).all() and (found.get(keys + np.uint64(10_000)) == -1).all()
+    assert (common.Lookup(keys[:0], np.arange(0)).get(keys) == -1).all()
+
+
 def test_token_counts(docs, rows, empty):
     path = tokenizer_path("byte_bpe_50k.json")
     library = load_tokenizer(path)
