@@ -25,12 +25,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_stream import Encoder
-from .common import SLICE_BYTES, arrow_map, slices, stored, with_bytes
+from .common import SLICE_BYTES, arrow_map, ranges, slices, spaced, stored, with_bytes
 from .tokens import Kept, packed
 
 CHUNK_BYTES = 8 << 20
 #: Linked id pairs of a slice that are expanded at a time.
 EXPAND = 1 << 21
+#: Words that a SentencePiece model gets in one piece.
+TOGETHER = 64
+#: Longer words are encoded with their text.
+LONGEST = 1024
+#: With a space before it, such a word is not independent of what stands before.
+BOUND = re.compile(f"$|[{Encoder.SPACE}]")
 _DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
@@ -48,6 +54,11 @@ class ByteTokens:
     def ids(self, text: str) -> bytes:
         return self.encoder.encode(text)
 
+    def of_words(self, words: list[str], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, each behind a space, and where those of a word begin, and how many they are. ``length``: bytes of each id."""
+        ids = np.frombuffer(self.encoder.merges.window("".join([" " + w for w in words])), "<u4").astype(np.int64)
+        return ids, *_bounds(words, length[ids])
+
 
 class PieceTokens:
     """Tokens of a SentencePiece model without special ids, of a text that begins with the space that the model adds.
@@ -86,6 +97,24 @@ class PieceTokens:
             for word, ids in zip(new, self.model.encode(new, num_threads=1)):
                 known.keep(word, self._sound(" " + word, ids))
 
+    def of_words(self, words: list[str], length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same as with bytes; a word whose bytes are not kept has none."""
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        flat, kept, sound = [], [], np.ones(len(words), bool)
+        for i, (part, ids) in enumerate(zip(parts, self.model.encode([" ".join(p) for p in parts], num_threads=1))):
+            if b"".join(map(self.piece.__getitem__, ids)) == (" " + " ".join(part)).encode():
+                flat += ids
+                kept += part
+            else:
+                sound[i * TOGETHER : (i + 1) * TOGETHER] = False
+        ids = np.array(flat, np.int64)
+        start, count = np.zeros((2, len(words)), np.int64)
+        start[sound], count[sound] = _bounds(kept, length[ids])
+        alone = [np.frombuffer(self.words[words[i]], "<u4").astype(np.int64) for i in np.flatnonzero(~sound).tolist()]
+        count[~sound] = list(map(len, alone))
+        start[~sound] = len(ids) + np.cumsum(count[~sound]) - count[~sound]
+        return np.concatenate([ids, *alone]), start, count
+
     def _words(self, text: str) -> list[str]:
         spaced = text.split(" ")
         return self.WORD.findall(text) if "" in spaced[1:] else spaced[1:]
@@ -99,6 +128,13 @@ class PieceTokens:
         return packed(ids) if b"".join(map(self.piece.__getitem__, ids)) == text.encode() else b""
 
 
+def _bounds(words: list[str], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word's tokens begin, and how many they are, from the bytes of all tokens of words that follow a space each."""
+    stop = np.searchsorted(np.cumsum(length), np.cumsum([1 + len(w.encode()) for w in words])) + 1
+    count = np.diff(stop, prepend=0)
+    return stop - count, count
+
+
 class Aligner:
     """Groups and links of documents of two tokenizers."""
 
@@ -117,9 +153,42 @@ class Aligner:
         return (both[0], both[1]) if all(both) else (b"", b"")
 
     def align(self, texts: list[str | None]) -> Groups:
+        return Groups(self, self.tokens_of(texts))
+
+    def tokens_of(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """``tokens`` of each of some texts. Distinct words are encoded once, where every space of a text begins a word for both sides."""
+        out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(texts)
+        own = [i for i, t in enumerate(texts) if t]
+        if not all(getattr(side, "apart", True) for side in self.sides):
+            for i in own:
+                out[i] = self.tokens(texts[i])
+            return out
+        if not own:
+            return out
+        words, place, first = spaced(pa.array([texts[i] for i in own], pa.string()))
+        words = words.to_pylist()
+        plain = np.array([not BOUND.match(w) and len(w) <= LONGEST for w in words], bool)
+        whole = np.logical_and.reduceat(plain[place], first[:-1])
+        chosen = [w for w, p in zip(words, plain.tolist()) if p]
+        place = (np.cumsum(plain) - 1)[place[np.repeat(whole, np.diff(first))]]
+        first = np.append(0, np.cumsum(np.diff(first)[whole]))
+        raw, cuts, kept = [], [], np.ones(len(place), bool)
+        for side, length in zip(self.sides, self.length):
+            ids, start, count = side.of_words(chosen, length)
+            kept &= count[place] > 0
+            raw.append(ids[ranges(start[place], count[place])].astype("<u4").tobytes())
+            cuts.append((4 * np.append(0, np.cumsum(count[place]))[first]).tolist())
+        own = np.array(own)
+        sound = np.logical_and.reduceat(kept, first[:-1]) if len(place) else kept
+        for k, (i, good) in enumerate(zip(own[whole].tolist(), sound.tolist())):
+            if good:
+                out[i] = tuple(r[c[k] : c[k + 1]] for r, c in zip(raw, cuts))
+        odd = own[~whole].tolist()
         for side in self.sides:
-            side.prepare([" " + t for t in texts if t])
-        return Groups(self, [self.tokens(t) for t in texts])
+            side.prepare([" " + texts[i] for i in odd])
+        for i in odd:
+            out[i] = self.tokens(texts[i])
+        return out
 
 
 class Groups:

@@ -58,6 +58,17 @@ def test_specials_as_text():
         assert own.encode(text) == packed(library.encode(text, add_special_tokens=False).ids)
 
 
+def test_words_of_many_texts_are_encoded_together():
+    own = alignment.Aligner(tokenizer_path(A), tokenizer_path(B))
+    texts = [None, "", *strings(1500, 7), "a ▁ b", "fine words then \x00 a\u2581b", "end ", " begin", "two  spaces", "line\n\n next", "\n", "x" * 3000 + " y", "plain words only"]
+    assert own.tokens_of(texts) == [own.tokens(t) for t in texts]
+    assert own.tokens_of([]) == [] and own.tokens_of([None]) == [(b"", b"")]
+    calls = []
+    own.sides[0].ids = calls.append
+    own.tokens_of(["plain words only", "words only, plain"])
+    assert not calls
+
+
 def test_lookahead_of_small_lists():
     assert bpe_stream.lookahead([]) == 0
     assert bpe_stream.lookahead([("a", "b")]) == 1
