@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, mix, powers, slices, with_bytes
+from .common import Lookup, arrow_map, mix, powers, slices, with_bytes
 
 ALPHA = 1.0
 SLICE = 2 << 20
@@ -71,6 +71,7 @@ class Vocabulary:
         self.hashes = np.array(sorted(found), np.uint64)
         self.piece = np.array([found[h][0] for h in self.hashes.tolist()])
         self.weight = np.array([found[h][1] for h in self.hashes.tolist()])
+        self.places = Lookup(self.hashes, np.arange(len(self.hashes)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))[1:]
@@ -84,15 +85,21 @@ def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
 class Lattice:
     """Edges of the lattices of words, sorted by the node they enter, with their cumulated probability there.
 
-    Node ``node[w] + p`` is the place after p characters of word w.
+    Nodes lie by layers: first those before all words, then those after one character, and so on; in a layer, longer words
+    come first. So the node after p characters of word w is ``layer[p] + rank[w]``, and a layer's nodes and edges lie together.
     """
 
     def __init__(self, vocab: Vocabulary, code: np.ndarray, begin: np.ndarray, length: np.ndarray):
         """Word w is ``code[begin[w] : begin[w] + length[w]]``, and nothing lies between words."""
         n = len(begin)
-        self.node = begin + np.arange(n)
-        word = np.repeat(np.arange(n), length)
-        spot = np.arange(len(code)) + word  # the node before each character
+        by_length = np.argsort(-length, kind="stable")
+        self.rank = np.empty(n, np.int64)
+        self.rank[by_length] = np.arange(n)
+        reach = np.searchsorted(-length[by_length], -np.arange(int(length.max(initial=0)) + 1), side="right")
+        self.layer = np.append(0, np.cumsum(reach))
+        place = np.repeat(self.rank, length)
+        inside = np.arange(len(code)) - np.repeat(begin, length)
+        spot = self.layer[inside] + place  # the node before each character
         left = np.repeat(begin + length, length) - np.arange(len(code))
         up = powers(_BASE, len(code) + 1)
         sums = np.zeros(len(code) + 1, np.uint64)
@@ -106,44 +113,46 @@ class Lattice:
             if not len(active):
                 break
             h = mix((sums[active + size] - sums[active]) * down[active] + np.uint64(size))
-            at = np.minimum(np.searchsorted(vocab.hashes, h), len(vocab.hashes) - 1)
-            hit = vocab.hashes[at] == h
+            at = vocab.places.get(h)
+            hit = at >= 0
             active, at = active[hit], at[hit]
             whole = vocab.piece[at] >= 0
             chosen, at = active[whole], at[whole]
             if size == 1:
                 single[chosen] = True
             source.append(spot[chosen])
-            target.append(spot[chosen] + size)
+            target.append(self.layer[inside[chosen] + size] + place[chosen])
             piece.append(vocab.piece[at])
             weight.append(vocab.weight[at])
         spelt = np.flatnonzero(~single)
         own = code[spelt].astype(np.int64)
         source.append(spot[spelt])
-        target.append(spot[spelt] + 1)
+        target.append(self.layer[inside[spelt] + 1] + place[spelt])
         piece.append(np.where(own < 128, vocab.bytes_first + own, -own))
         weight.append(np.full(len(spelt), vocab.lowest - 1))
-        source, target, piece, weight = map(np.concatenate, (source, target, piece, weight))
-        order = np.argsort(target, kind="stable")
-        self.source, target, self.piece, weight = source[order], target[order], piece[order], weight[order]
-        self.first = np.searchsorted(target, np.arange(len(code) + n + 1))
-        self._filter(target, weight, length)
+        number = np.zeros(int(self.layer[-1]), np.int64)
+        for nodes in target:  # edges of one size enter a node each
+            number[nodes] += 1
+        self.first = np.append(0, np.cumsum(number))
+        edges = int(self.first[-1])
+        self.source, self.piece, weights = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
+        free = self.first[:-1].copy()
+        for nodes, *values in zip(target, source, piece, weight):
+            at = free[nodes]
+            self.source[at], self.piece[at], weights[at] = values
+            free[nodes] += 1
+        self._filter(np.repeat(np.arange(len(number)), number), weights)
 
-    def _filter(self, target: np.ndarray, weight: np.ndarray, length: np.ndarray) -> None:
+    def _filter(self, target: np.ndarray, weight: np.ndarray) -> None:
         total = np.zeros(len(self.first) - 1)
         log = np.zeros(len(target))
-        by_length = np.argsort(-length, kind="stable")
-        longest = int(length.max(initial=0))
-        reach = np.searchsorted(-length[by_length], -np.arange(1, longest + 1), side="right")
-        for p in range(1, longest + 1):
-            nodes = np.sort(self.node[by_length[: reach[p - 1]]]) + p
-            low, n = self.first[nodes], self.first[nodes + 1] - self.first[nodes]
-            offset = np.cumsum(n) - n
-            edges = np.repeat(low - offset, n) + np.arange(int(n.sum()))
-            value = total[self.source[edges]] + weight[edges]
+        for low, high in zip(self.layer[1:-1].tolist(), self.layer[2:].tolist()):
+            own = slice(int(self.first[low]), int(self.first[high]))
+            offset, n = self.first[low:high] - own.start, np.diff(self.first[low : high + 1])
+            value = total[self.source[own]] + weight[own]
             most = np.maximum.reduceat(value, offset)
-            total[nodes] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, n)), offset))
-            log[edges] = value - np.repeat(total[nodes], n)
+            total[low:high] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, n)), offset))
+            log[own] = value - np.repeat(total[low:high], n)
         share = np.exp(log)
         sums = np.cumsum(share)
         before = np.concatenate([[0.0], sums])[self.first[target]]
@@ -152,8 +161,7 @@ class Lattice:
 
     def draw(self, word: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of occurrences of words, one after the other, and their number for each."""
-        start = self.node[word]
-        at = start + length[word]
+        at = self.layer[length[word]] + self.rank[word]
         alive = np.arange(len(word))
         steps = []
         count = np.zeros(len(word), np.int64)
@@ -167,7 +175,7 @@ class Lattice:
             steps.append((alive, self.piece[edge]))
             count[alive] += 1
             at[alive] = self.source[edge]
-            alive = alive[at[alive] > start[alive]]
+            alive = alive[at[alive] >= len(self.rank)]
             step += 1
         end = np.cumsum(count)
         out = np.zeros(int(end[-1]) if len(end) else 0, np.int64)

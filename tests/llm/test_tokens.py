@@ -201,3 +201,24 @@ def test_lattice_draws_by_weight():
     drawn = Counter(tuple(vocab.raw[i] for i in f) for f in lattice.sample(["thing"] * n, np.arange(n).astype(np.uint64), vocab, 5))
     for way, w in ways:
         assert abs(drawn[way] - n * w / total) < 5 * (n * w / total) ** 0.5 + 5
+
+
+def test_lattice_lies_by_layers():
+    vocab = lattice.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    words = ["▁the", "▁", "▁stone", "▁漢a", "▁thing"]
+    length = np.array([len(w) for w in words])
+    code = np.array([ord(c) for w in words for c in w], np.uint64)
+    own = lattice.Lattice(vocab, code, np.cumsum(length) - length, length)
+    assert own.layer[:3].tolist() == [0, 5, 10] and len(own.first) == int((length + 1).sum()) + 1
+    entered = np.diff(own.first)
+    assert (entered[:5] == 0).all() and (entered[5:] > 0).all() and (np.diff(own.bar) >= 0).all()
+    for w, word in enumerate(words):
+        for p in range(1, len(word) + 1):
+            node = own.layer[p] + own.rank[w]
+            starts = own.layer[:p] + own.rank[w]
+            assert set(own.source[own.first[node] : own.first[node + 1]].tolist()) <= set(starts.tolist())
+            assert own.bar[own.first[node + 1] - 1] == node + 1
+    texts = strings(60, 6)
+    keys = np.arange(len(texts)).astype(np.uint64)
+    together = lattice.sample(texts, keys, vocab, 3)
+    assert all((lattice.sample([t], keys[i : i + 1], vocab, 3)[0] == together[i]).all() for i, t in enumerate(texts))
