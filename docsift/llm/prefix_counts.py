@@ -147,15 +147,16 @@ class PrefixCounter:
         data = b"".join(texts)
         letters, runs, first = np.frombuffer(data, np.uint8), byte_phrases(data), np.cumsum(size) - size
         most = int(size.max(initial=0))
-        prefix = np.zeros((most + 1, len(texts)), np.int64)  # the number of each text's prefix of a length; 0 is the empty one
+        at = first + np.arange(len(texts))
+        prefix = np.zeros(len(data) + len(texts), np.int64)  # from ``at`` on, the numbers of a text's prefixes by length; 0 is the empty one
         count, last, begin = np.zeros((3, len(data) + 1), np.int64)
         made, who = 1, np.arange(len(texts))
         for end in range(1, most + 1):
             who = who[size[who] >= end]
-            before, letter = prefix[end - 1, who], letters[first[who] + end - 1]
+            before, letter = prefix[at[who] + end - 1], letters[first[who] + end - 1]
             new = np.ones(len(who), bool)  # in order, texts with the same prefix are neighbours
             new[1:] = (before[1:] != before[:-1]) | (letter[1:] != letter[:-1])
-            prefix[end, who] = made - 1 + np.cumsum(new)
+            prefix[at[who] + end] = made - 1 + np.cumsum(new)
             own, grown = who[new], begin[before[new]]
             left = np.arange(len(own))
             for tried in range(3):
@@ -163,11 +164,11 @@ class PrefixCounter:
                     which, start = left, np.full(len(left), end - 1) if tried else grown
                 else:
                     which, start = np.repeat(left, end - 1), np.tile(np.arange(end - 1), len(left))
-                at = first[own[which]]
-                token = self.by_hash.get(runs.of(at + start, at + end))
+                low = first[own[which]]
+                token = self.by_hash.get(runs.of(low + start, low + end))
                 known = token >= 0
                 which, start, token = which[known], start[known], token[known]
-                head = prefix[start, own[which]]
+                head = prefix[at[own[which]] + start]
                 good = self.sound[token]
                 inner = np.flatnonzero(start)
                 good[inner] = self.stay_pairs(last[head[inner]], token[inner], np.full(len(inner), len(self.merge)))
@@ -177,9 +178,8 @@ class PrefixCounter:
                 if not len(left):
                     break
             made += len(own)
-        text = np.repeat(np.arange(len(texts)), size)
-        length = np.arange(len(data)) - first[text]
-        return count[prefix[length + 1, text]] - count[prefix[length, text]]
+        whole = np.arange(len(data)) + np.repeat(np.arange(len(texts)), size)
+        return count[prefix[whole + 1]] - count[prefix[whole]]
 
     def stay_pairs(self, left: np.ndarray, right: np.ndarray, before: np.ndarray) -> np.ndarray:
         """``stays_pair_under`` of whole arrays."""
