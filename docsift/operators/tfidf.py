@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -137,8 +137,9 @@ class Tfidf:
 
     def fit(self, docs: DataFrame, input_col: str = "clean") -> TfidfModel:
         words = docs.select(tokens(input_col, self.stop_words).alias("words"))
-        # Read up to three times: counting documents, unigrams, bigrams.
-        words = words.persist()
+        # Read up to three times: counting documents, unigrams, bigrams. On disk, as the words of a
+        # large collection would fill the executors' heap, which is not given back for the steps after.
+        words = words.persist(StorageLevel.DISK_ONLY)
         try:
             n_docs = words.count()
             top = self._top_terms(words)
