@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -30,10 +30,11 @@ def held_for_fitting(rows: DataFrame, n: int):
     """The rows, computed once in as many tasks as they come in, then held in partitions of a fair size.
 
     Every iteration of a fit is one job over them, so small vectors in many
-    partitions cost more to schedule than to add up.
+    partitions cost more to schedule than to add up. Held on disk: a fit packs them into
+    blocks of its own, which are what its iterations read from memory.
     """
-    computed = rows.persist()
-    packed = computed.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION))).persist()
+    computed = rows.persist(StorageLevel.DISK_ONLY)
+    packed = computed.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION))).persist(StorageLevel.DISK_ONLY)
     try:
         computed.count()
         yield packed

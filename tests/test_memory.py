@@ -2,8 +2,9 @@
 
 import pytest
 
-from docsift.operators.models import create_classifier, held_for_fitting
+from docsift.operators.models import held_for_fitting
 from docsift.operators.tfidf import Tfidf
+from docsift.streaming import score
 
 
 @pytest.fixture
@@ -27,3 +28,29 @@ def test_words_are_held_on_disk(spark, held):
     assert model.n_docs == 6 and model.feature_names == ["alpha", "alpha beta", "beta", "beta gamma", "gamma"]
     levels = [level for columns, level in held if columns == ["words"]]
     assert levels and all(level.useDisk and not level.useMemory for level in levels)
+
+
+def test_rows_of_a_fit_are_held_on_disk(spark):
+    rows = spark.range(0, 100, 1, 4)
+    with held_for_fitting(rows, 100) as packed:
+        assert rows.storageLevel.useDisk and not rows.storageLevel.useMemory
+        assert packed.storageLevel.useDisk and not packed.storageLevel.useMemory
+        assert packed.rdd.getNumPartitions() == 1 and sorted(r.id for r in packed.collect()) == list(range(100))
+    assert not rows.storageLevel.useDisk and not packed.storageLevel.useDisk
+
+
+def test_stream_keeps_a_file_open_for_each_route(spark, tmp_path, monkeypatch):
+    kinds = "CASE doc_id % 3 WHEN 0 THEN 'useful' WHEN 1 THEN 'not_useful' ELSE 'manual_check' END AS route"
+    monkeypatch.setattr(score, "predict_job", lambda pipeline, docs, **_: docs.selectExpr("*", kinds))
+    docs = spark.range(0, 90, 1, 3).selectExpr("id AS doc_id", "repeat('a', 20) AS text")
+    docs.write.parquet(str(tmp_path / "in"))
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    for given, then in (("0", "3"), ("7", "7")):
+        spark.conf.set(writers, given)
+        stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+        out = str(tmp_path / f"out{given}")
+        score.score_stream(None, stream, out, str(tmp_path / f"state{given}"), once=True).awaitTermination()
+        assert spark.conf.get(writers) == then
+        routes = {r.doc_id: r.route for r in spark.read.parquet(out).collect()}
+        assert routes == {i: ("useful", "not_useful", "manual_check")[i % 3] for i in range(90)}
+    spark.conf.unset(writers)
