@@ -4,8 +4,11 @@ import pytest
 
 from docsift.operators.models import held_for_fitting
 from docsift.operators.tfidf import Tfidf
+from docsift.plans.catalogue import QUERIES
 from docsift.streaming import score
 
+from test_stream_tables import layouts  # noqa: F401
+
 
 @pytest.fixture
 def held(spark, monkeypatch):
@@ -54,3 +57,11 @@ def test_stream_keeps_a_file_open_for_each_route(spark, tmp_path, monkeypatch):
         routes = {r.doc_id: r.route for r in spark.read.parquet(out).collect()}
         assert routes == {i: ("useful", "not_useful", "manual_check")[i % 3] for i in range(90)}
     spark.conf.unset(writers)
+
+
+@pytest.mark.parametrize("name", ["predict_combined", "stream_combined"])
+def test_words_and_embeddings_leave_no_texts_in_memory(spark, layouts, held, name):  # noqa: F811
+    got = QUERIES[name](spark, layouts[0]).collect()
+    assert sorted(r.doc_id for r in got) == list(range(80))
+    texts = [level for columns, level in held if {"words", "clean", "text"} & set(columns)]
+    assert texts and not any(level.useMemory for level in texts)
